@@ -1,0 +1 @@
+"""Operators of the reference that need more than built-in Spark. It has none."""

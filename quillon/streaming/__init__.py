@@ -1,0 +1 @@
+"""Streaming operators of the reference. It has none."""
