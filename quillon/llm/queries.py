@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, sharding, warc
+from quillon.llm import decontamination, mixing, sharding, warc
 from quillon.llm.shared import n_words, written
 from quillon.sources import read_table
 
@@ -48,6 +48,24 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of the benchmark that each document holds verbatim."""
+    found = decontamination.find_matches(
+        read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+        read_table(spark, sf_dir, "benchmark"),
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.aggregate(
+            "hits", F.lit(0).cast("bigint"), lambda n, h: n + h["end"] - h["start"]
+        ).alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard and slot of each document after a two-pass external shuffle."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")

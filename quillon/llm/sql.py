@@ -59,3 +59,39 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
        CASE WHEN page_id <> kept THEN kept END AS refers_to
 FROM grouped
 """
+
+ORACLE["op8_decontaminate"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           coalesce(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+    FROM documents
+), items AS (
+    SELECT item_id,
+           coalesce(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+    FROM benchmark
+), passages AS (
+    SELECT DISTINCT item_id, least(10, len(words)) AS n,
+           array_to_string(words[i:i + 9], ' ') AS passage
+    FROM (SELECT *, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i FROM items WHERE len(words) > 0)
+), windows AS (
+    SELECT r, i, n, array_to_string(words[i:i + n - 1], ' ') AS passage
+    FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i
+          FROM docs, (SELECT DISTINCT n FROM passages) WHERE len(words) >= n)
+), matches AS (
+    SELECT r, i, n, item_id FROM windows JOIN passages USING (n, passage)
+), hit AS (
+    SELECT r, count(DISTINCT w) AS n_hit
+    FROM (SELECT r, unnest(range(i, i + n)) AS w FROM (SELECT DISTINCT r, i, n FROM matches)) GROUP BY r
+), held AS (
+    SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM matches WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
+"""
