@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, mixing, sharding, warc
+from quillon.llm import decontamination, mixing, sharding, simhash, warc
 from quillon.llm.shared import n_words, written
 from quillon.sources import read_table
 
@@ -48,6 +48,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SimHash of each document and the component that its links lead to."""
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, budget=4)
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of the benchmark that each document holds verbatim."""
     found = decontamination.find_matches(
