@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, mixing, sharding, simhash, warc
+from quillon.llm import decontamination, mixing, sharding, simhash, tokens, warc
 from quillon.llm.shared import n_words, written
 from quillon.sources import read_table
 
@@ -58,6 +59,18 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each document, and whether it exceeds 1024 tokens."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 1024).alias("over_limit"),
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of the benchmark that each document holds verbatim."""
     found = decontamination.find_matches(
