@@ -5,10 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, mixing, sharding, simhash, tokens, warc
+from quillon.llm import (
+    decontamination,
+    language,
+    mixing,
+    sharding,
+    simhash,
+    tokens,
+    toxicity,
+    warc,
+)
 from quillon.llm.shared import n_words, written
 from quillon.sources import read_table
 
@@ -49,6 +58,29 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
+    """Whether crc32 of the id as text leaves `fold` modulo `folds`; false for a null id."""
+    rest = F.crc32(doc_id.cast("string").cast("binary")) % folds
+    return F.coalesce(rest == fold, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from the texts of `docs` whose labels are not held out."""
+    labels = read_table(spark, sf_dir, "labels").where(~in_fold(F.col("doc_id"), 5, 0))
+    return toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of each document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity_model(spark, docs, sf_dir)).select(
+        "doc_id",
+        in_fold(F.col("doc_id"), 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SimHash of each document and the component that its links lead to."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, budget=4)
@@ -59,6 +91,16 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = in_fold(F.col("doc_id"), 4, 2)
+    model = language.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of each document, and whether it exceeds 1024 tokens."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
