@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import (
     decontamination,
+    divergence,
     language,
     mixing,
     sharding,
@@ -81,6 +82,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain counts of each document and whether its histograms fit its language."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return divergence.judge(docs).drop("text", "lang")
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SimHash of each document and the component that its links lead to."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, budget=4)
