@@ -15,9 +15,9 @@ from quillon.llm.shared import WORD, col, without, written
 #: Common words a language's reference has.
 COMMON = 16
 #: A document of fewer letters-only words, or characters, is not judged by the histogram.
-MIN_WORDS, MIN_CHARS = 50, 200
+MIN_WORDS, MIN_CHARS = 50, 300
 #: Jensen-Shannon distances (base 2, 0 to 1) beyond which a document is rejected.
-MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 0.40, 0.22
+MAX_WORD_DISTANCE, MAX_CHAR_DISTANCE = 0.32, 0.22
 
 #: Characters beside letters: digits, white space, usual punctuation. All else is a class too.
 CLASSES = (r"\p{N}", r"\s", r"""[.,;:!?'"()\-]""")

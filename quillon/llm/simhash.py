@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -262,6 +262,27 @@ def link(prints: DataFrame, *, budget: int = 4) -> DataFrame:
     return rows.groupBy("x", "y").applyInArrow(compare, "u bigint, v bigint")
 
 
+def _components(prints: DataFrame, first: Column, budget: int) -> DataFrame:
+    """(fingerprint, first): the smallest `first` among the rows of `prints` reachable over
+    links from a fingerprint.
+
+    Rows of equal fingerprints, exact copies among them, are one node.
+    """
+    nodes = written(prints.groupBy("fingerprint").agg(F.min(first).alias("own")))
+    tied = written(components(link(nodes, budget=budget)))
+    groups = (
+        tied.join(nodes, tied.node == nodes.fingerprint)
+        .groupBy("root")
+        .agg(F.min("own").alias("least"))
+    )
+    moved = tied.join(groups, "root").select(F.col("node").alias("fingerprint"), "least")
+    return written(
+        nodes.join(moved, "fingerprint", "left").select(
+            "fingerprint", F.coalesce("least", "own").alias("first")
+        )
+    )
+
+
 def near_duplicates(
     docs: DataFrame, *, shingle: int = 4, budget: int = 4, seed: int = 42
 ) -> DataFrame:
@@ -271,23 +292,48 @@ def near_duplicates(
     smallest doc_id reachable over links, the row's own included. Null ids are larger than
     any; a component of null ids alone has component_id null. Repeated rows, and rows that
     share an id, each get a row. An empty table gives an empty result.
-
-    Exact copies and all else with equal fingerprints are one node, with its smallest id.
     """
-    prints = written(
-        fingerprints(docs.select(col("doc_id").alias("doc_id"), col("text").alias("text")), shingle=shingle, seed=seed).drop("text")
+    texts = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"))
+    prints = written(fingerprints(texts, shingle=shingle, seed=seed).drop("text"))
+    whole = _components(prints, F.col("doc_id"), budget)
+    return prints.join(whole, "fingerprint").select(
+        "doc_id", "fingerprint", F.col("first").alias("component_id")
     )
-    nodes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    tied = written(components(link(nodes, budget=budget)))
-    groups = (
-        tied.join(nodes, tied.node == nodes.fingerprint)
-        .groupBy("root")
-        .agg(F.min("least").alias("smallest"))
-    )
-    moved = tied.join(groups, "root").select(F.col("node").alias("fingerprint"), "smallest")
-    whole = written(
-        nodes.join(moved, "fingerprint", "left").select(
-            "fingerprint", F.coalesce("smallest", "least").alias("component_id")
-        )
+
+
+def one_of_each(
+    docs: DataFrame, *, shingle: int = 5, budget: int = 4, seed: int = 42
+) -> DataFrame:
+    """The rows of `docs` that stay when each group of linked texts keeps one row.
+
+    Links are those of `near_duplicates`. The row with the smallest doc_id stays, null being
+    larger than any; among rows of that id, the one with the smallest hash of all columns;
+    of rows equal in all columns, one. All columns are kept as they are.
+
+    Fingerprints are taken once, without the other columns; the rows to drop, or the few
+    rows to take once, are then told by id and hash.
+    """
+    names = [col(c) for c in docs.columns]
+    rows = docs.select(
+        F.struct(*names).alias("row"),
+        F.struct(
+            col("doc_id").isNull().alias("none"),
+            col("doc_id").alias("doc_id"),
+            F.xxhash64(*names).alias("mark"),
+        ).alias("name"),
     )
-    return prints.join(whole, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    texts = rows.select("name", F.col("row.text").alias("text"))
+    prints = written(fingerprints(texts, shingle=shingle, seed=seed).drop("text"))
+    whole = _components(prints, F.col("name"), budget)
+    named = prints.groupBy("fingerprint", "name").agg(F.count("*").alias("n")).join(whole, "fingerprint")
+    dropped = written(named.where(F.col("name") != F.col("first")).select("name"))
+    repeated = written(named.where((F.col("name") == F.col("first")) & (F.col("n") > 1)).select("name"))
+    kept = rows.join(dropped, _same(rows, dropped), "left_anti")
+    once = kept.join(repeated, _same(kept, repeated), "left_semi").dropDuplicates(["name"])
+    rest = kept.join(repeated, _same(kept, repeated), "left_anti")
+    return rest.unionByName(once).select("row.*")
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    """Equal names, null ids being equal; part by part, as Spark joins by parts."""
+    return (a["name"]["mark"] == b["name"]["mark"]) & a["name"]["doc_id"].eqNullSafe(b["name"]["doc_id"])
