@@ -29,8 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by SimHash of five-word shingles."""
-    return simhash.one_of_each(docs, shingle=5, budget=4, seed=SEED)
+    """One document of each group of near-duplicates, by 256-bit SimHash of five-word
+    shingles; a similarity of 0.8 is the middle of what links (`simhash.Links256`)."""
+    return simhash.one_of_each(docs, shingle=5, seed=SEED)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

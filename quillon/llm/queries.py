@@ -90,7 +90,7 @@ def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SimHash of each document and the component that its links lead to."""
-    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, budget=4)
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, seed=SEED)
     return found.select(
         "doc_id",
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,26 +15,65 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from quillon.llm.components import components
 from quillon.llm.shared import col, without, written
-from quillon.llm.words import slices
+from quillon.llm.words import mixed, slices
 
 #: Bytes of text fingerprinted at once; shingles summed in one go (16-bit counters).
 SLICE_BYTES, LANE = 2 << 20, 32768
 
-#: Fingerprints in a block of the trie, and in a leaf; node pairs followed at once.
+#: Rows of a block of the trie at most, about; fingerprints in a leaf; node pairs followed at
+#: once.
 BLOCK, LEAF, CHUNK = 32768, 8, 1 << 17
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """`docs` with the 64-bit SimHash of its texts as `fingerprint` (bigint), replacing a
-    column of that name.
+class Links64(NamedTuple):
+    """Texts link if their 64-bit fingerprints differ in at most `budget` bits."""
+
+    budget: int = 4
+    words: int = 1
+    piece_bits: int = 64
+    block: int = BLOCK
+
+    @property
+    def piece_budget(self) -> int:
+        return self.budget
+
+
+class Links256(NamedTuple):
+    """Texts link if their 256-bit fingerprints differ in at most `budget` bits, and those of
+    one of eight 32-bit pieces in at most `piece_budget`.
+
+    Two sets of shingles with Jaccard similarity 0.8 differ in 39 of 256 bits on average,
+    unrelated ones in 128. At 44 bits in all a piece differs in 5.5 on average: 97% of such
+    pairs have a piece within 4, and 99.7% of those at 36 bits.
+    """
+
+    budget: int = 44
+    words: int = 4
+    piece_bits: int = 32
+    block: int = 1 << 19
+    piece_budget: int = 4
+
+
+def columns(rule: Links64 | Links256) -> list[str]:
+    """The names of a fingerprint's 64-bit words."""
+    return ["fingerprint"] if rule.words == 1 else [f"fingerprint{i}" for i in range(rule.words)]
+
+
+def fingerprints(
+    docs: DataFrame, *, shingle: int = 4, seed: int = 42, rule: Links64 | Links256 = Links64()
+) -> DataFrame:
+    """`docs` with the SimHash of its texts as `columns(rule)` (bigint), replacing columns of
+    these names.
 
     Words are parted by ASCII white space, A-Z lowered. Shingles of `shingle` words, repeats
-    included, joined by spaces (all words if there are fewer) are hashed by XXH64; a bit is
-    1 if it is set in more than half of the hashes. No words, or null: 0.
+    included, joined by spaces (all words if there are fewer) are hashed by XXH64, from which
+    further words of hash are mixed; a bit is 1 if it is set in more than half of the hashes.
+    No words, or null: 0.
     """
-    docs = without(docs, ["fingerprint"])
-    schema = StructType([*docs.schema.fields, StructField("fingerprint", LongType())])
-    return docs.mapInArrow(_fingerprinter(shingle, seed), schema)
+    names = columns(rule)
+    docs = without(docs, names)
+    schema = StructType([*docs.schema.fields, *[StructField(n, LongType()) for n in names]])
+    return docs.mapInArrow(_fingerprinter(shingle, seed, names), schema)
 
 
 def _hashes(text: str | None, shingle: int, seed: int) -> list[int]:
@@ -66,29 +106,33 @@ def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprinter(shingle: int, seed: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _fingerprinter(
+    shingle: int, seed: int, names: list[str]
+) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.names.index("text"))
             sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_pylist()
-            prints = [np.empty(0, np.uint64)]
+            prints = [[np.empty(0, np.uint64)] for _ in names]
             for a, b in slices(sizes, SLICE_BYTES):
                 parts = [np.array(_hashes(t, shingle, seed), np.uint64) for t in text[a:b].to_pylist()]
                 counts = np.array([len(p) for p in parts], np.int64)
-                prints.append(majorities(np.concatenate(parts), counts))
-            marks = pa.array(np.concatenate(prints).view(np.int64))
+                hashes = np.concatenate(parts)
+                for i, out in enumerate(prints):
+                    out.append(majorities(mixed(hashes + np.uint64(i)) if i else hashes, counts))
+            marks = [pa.array(np.concatenate(out).view(np.int64)) for out in prints]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, marks], names=[*batch.schema.names, "fingerprint"]
+                [*batch.columns, *marks], names=[*batch.schema.names, *names]
             )
 
     return run
 
 
 class Trie:
-    """A path-compressed binary trie over distinct sorted fingerprints.
+    """A path-compressed binary trie over sorted fingerprints.
 
     A node is a range of them; `depth` is the length of the prefix all its members share.
-    Nodes of at most LEAF members are not split.
+    Nodes of at most LEAF members, or of equal ones, are not split.
     """
 
     def __init__(self, prints: np.ndarray) -> None:
@@ -96,7 +140,7 @@ class Trie:
         low, high = np.array([0]), np.array([len(prints)])
         lows, highs, lefts, made = [], [], [], 1
         while len(low):
-            inner = high - low > LEAF
+            inner = (high - low > LEAF) & (prints[low] != prints[high - 1])
             left = np.full(len(low), -1)
             a, b = low[inner], high[inner]
             left[inner] = made + 2 * np.arange(len(a))
@@ -159,24 +203,39 @@ class Links:
         return self.runs[low] == self.runs[high - 1]
 
 
-def neighbours(a: np.ndarray, b: np.ndarray | None, budget: int) -> list[tuple[int, int]]:
-    """Edges that connect what is within `budget` bits between sorted `a` and `b`, or within
-    `a` if `b` is None; members of b count on from those of a.
+class Members(NamedTuple):
+    """Sorted pieces of fingerprints, and a row of all 64-bit words of each."""
+
+    pieces: np.ndarray
+    words: np.ndarray
+
+
+def neighbours(
+    a: Members, b: Members | None, piece_budget: int, budget: int
+) -> list[tuple[int, int]]:
+    """Edges that connect what is within both budgets between `a` and `b`, or within `a` if
+    `b` is None; members of b count on from those of a.
 
     Pairs of trie nodes are traversed together from the roots. The bits in which their
-    shared prefixes differ are differences of all their members: beyond the budget the pair
-    is pruned. It is also pruned if all members of both are connected already, so that a
-    large group of close fingerprints costs no more than its links. Pairs of leaves are
-    compared member by member.
+    shared prefixes differ are differences of all their members: beyond the budget of a piece
+    the pair is pruned. It is also pruned if all members of both are connected already, so
+    that a large group of close fingerprints costs no more than its links. Pairs of leaves
+    are compared member by member.
     """
-    tries = (Trie(a), Trie(a) if b is None else Trie(b))
-    shift = 0 if b is None else len(a)
-    links = Links(len(a) + (0 if b is None else len(b)))
-    for k, trie in enumerate(tries[: 1 if b is None else 2]):  # neighbours in order, first
-        near = np.flatnonzero(np.bitwise_count(trie.prints[1:] ^ trie.prints[:-1]) <= budget)
-        links.join(near + k * shift, near + 1 + k * shift)
+    sides = (a, a if b is None else b)
+    one, two = Trie(a.pieces), Trie(sides[1].pieces)
+    shift = 0 if b is None else len(a.pieces)
+    words = a.words if b is None else np.concatenate((a.words, b.words))
+    links = Links(len(words))
+
+    def near(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(words[u] ^ words[v]).sum(axis=1, dtype=np.int64) <= budget
+
+    for k, side in enumerate(sides[: 1 if b is None else 2]):  # neighbours in order, first
+        u = np.arange(len(side.pieces) - 1) + k * shift
+        u = u[near(u, u + 1)]
+        links.join(u, u + 1)
     stack = [(np.array([0]), np.array([0]))]
-    one, two = tries
     while stack:
         x, y = stack.pop()
         if len(x) > CHUNK:
@@ -190,12 +249,12 @@ def neighbours(a: np.ndarray, b: np.ndarray | None, budget: int) -> list[tuple[i
             & links.uniform(two.low[y] + shift, two.high[y] + shift)
             & (links.parent[one.low[x]] == links.parent[two.low[y] + shift])
         )
-        live = ((differ <= budget) | (depth == 0)) & ~linked
+        live = ((differ <= piece_budget) | (depth == 0)) & ~linked
         x, y = x[live], y[live]
         leaf_x, leaf_y = one.left[x] < 0, two.left[y] < 0
         both = leaf_x & leaf_y
         if both.any():
-            _compare(one, two, x[both], y[both], budget, shift, links)
+            _compare(one, two, x[both], y[both], piece_budget, shift, near, links)
         x, y, leaf_x, leaf_y = x[~both], y[~both], leaf_x[~both], leaf_y[~both]
         if not len(x):
             continue
@@ -209,106 +268,131 @@ def neighbours(a: np.ndarray, b: np.ndarray | None, budget: int) -> list[tuple[i
     return links.edges
 
 
-def _compare(one: Trie, two: Trie, x: np.ndarray, y: np.ndarray, budget: int, shift: int, links: Links) -> None:
-    n = one.size[x] * two.size[y]
-    for at in range(0, len(x), CHUNK // 8):
-        part = slice(at, at + CHUNK // 8)
-        many, wide = n[part], two.size[y[part]]
-        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        step, rest = np.divmod(nth, np.repeat(wide, many))
-        u = np.repeat(one.low[x[part]], many) + step
-        v = np.repeat(two.low[y[part]], many) + rest
-        near = np.bitwise_count(one.prints[u] ^ two.prints[v]) <= budget
-        links.join(u[near], v[near] + shift)
-
-
-def link(prints: DataFrame, *, budget: int = 4) -> DataFrame:
-    """Edges (u, v) that connect the distinct `fingerprint`s of `prints` which differ in at
-    most `budget` bits: a spanning forest for each two blocks of them.
-
-    Blocks are the nodes of the trie at a depth at which they hold about BLOCK fingerprints,
+def _compare(
+    one: Trie, two: Trie, x: np.ndarray, y: np.ndarray, budget: int, shift: int, near: Callable, links: Links
+) -> None:
+    """Joins the members of pairs of leaves that are within the budgets, a bounded number of
+    pairs at a time."""
+    rows = one.size[x]
+    pair = np.repeat(np.arange(len(x)), rows)
+    u = one.low[x][pair] + np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+    wide, low = two.size[y][pair], two.low[y][pair]
+    done = np.concatenate(([0], np.cumsum(wide)))
+    at = 0
+    while at < len(u):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + 8 * CHUNK, "right")) - 1)
+        many = wide[at:to]
+        i = np.repeat(u[at:to], many)
+        j = np.repeat(low[at:to], many) + np.arange(many.sum()) - np.repeat(done[at:to] - done[at], many)
+        close = np.bitwise_count(one.prints[i] ^ two.prints[j]) <= budget
+        i, j = i[close], j[close] + shift
+        apart = links.parent[i] != links.parent[j]
+        i, j = i[apart], j[apart]
+        keep = near(i, j)
+        links.join(i[keep], j[keep])
+        at = to
+
+
+def link(nodes: DataFrame, rule: Links64 | Links256) -> DataFrame:
+    """Edges (u, v) that connect those of `nodes` (node bigint, and `columns(rule)`) that
+    link: for each piece of the fingerprints and each two blocks of them, a spanning forest.
+
+    Blocks are the nodes of the trie at a depth at which they hold about `rule.block` rows,
     so the pairs of blocks within the budget are the first step of the traversal, and each
-    such pair is one group of rows. Rows are two numbers each, sent once per pair; a group
+    such pair is one group of rows. Rows are a few numbers each, sent once per pair; a group
     emits fewer edges than it has members, never all pairs.
     """
-    n = prints.count()
-    depth = max(3, math.ceil(math.log2(max(1, n) / BLOCK)))
-    flips = [m for m in range(1 << depth) if m.bit_count() <= budget]
-    block = F.shiftrightunsigned("fingerprint", 64 - depth).cast("int")
+    n = nodes.count()
+    names = columns(rule)
+    least = 3 if rule.piece_bits == 64 else 0
+    depth = max(least, math.ceil(math.log2(max(1, n) / rule.block)))
+    flips = [m for m in range(1 << depth) if m.bit_count() <= rule.piece_budget]
+    pieces = [F.col(c) for c in names]
+    if rule.piece_bits == 32:
+        pieces = [p for c in pieces for p in (F.shiftright(c, 32), c)]
+        pieces = [F.shiftleft(p, 32) for p in pieces]
+    block = F.shiftrightunsigned("value", 64 - depth).cast("int") if depth else F.lit(0)
     rows = (
-        prints.select("fingerprint", block.alias("block"))
+        nodes.select("node", *names, F.posexplode(F.array(*pieces)).alias("piece", "value"))
+        .select("*", block.alias("block"))
         .withColumn("flip", F.explode(F.lit(flips)))
         .withColumn("other", F.col("block").bitwiseXOR(F.col("flip")))
-        .select(
-            F.least("block", "other").alias("x"),
-            F.greatest("block", "other").alias("y"),
-            "block",
-            "fingerprint",
-        )
+        .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+        .drop("other", "flip")
     )
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        x, y = (k.as_py() for k in key)
-        block, values = (table.column(c).to_numpy() for c in ("block", "fingerprint"))
-        a, b = (np.sort(values[block == k].view(np.uint64)) for k in (x, y))
-        if not len(a) or not len(b):
-            edges = []
-        else:
-            edges = neighbours(a, None if x == y else b, budget)
-        every = (a if x == y else np.concatenate((a, b))).view(np.int64)
+        _, x, y = (k.as_py() for k in key)
+        block, value, node = (table.column(c).to_numpy() for c in ("block", "value", "node"))
+        words = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+        order = np.lexsort((node, value.view(np.uint64)))
+        parts = [order[block[order] == k] for k in ((x,) if x == y else (x, y))]
+        edges = []
+        if all(len(p) for p in parts):
+            members = [Members(value[p].view(np.uint64), words[p]) for p in parts]
+            other = members[1] if len(members) > 1 else None
+            edges = neighbours(members[0], other, rule.piece_budget, rule.budget)
+        every = node[np.concatenate(parts)]
         ends = np.array(edges, np.int64).reshape(-1, 2)
         return pa.table({"u": every[ends[:, 0]], "v": every[ends[:, 1]]})
 
-    return rows.groupBy("x", "y").applyInArrow(compare, "u bigint, v bigint")
+    return rows.groupBy("piece", "x", "y").applyInArrow(compare, "u bigint, v bigint")
 
 
-def _components(prints: DataFrame, first: Column, budget: int) -> DataFrame:
-    """(fingerprint, first): the smallest `first` among the rows of `prints` reachable over
-    links from a fingerprint.
+def _components(prints: DataFrame, first: Column, rule: Links64 | Links256) -> DataFrame:
+    """(node, first): the smallest `first` among the rows of `prints` reachable over links
+    from those of that node.
 
     Rows of equal fingerprints, exact copies among them, are one node.
     """
-    nodes = written(prints.groupBy("fingerprint").agg(F.min(first).alias("own")))
-    tied = written(components(link(nodes, budget=budget)))
+    names = columns(rule)
+    nodes = written(prints.groupBy("node", *names).agg(F.min(first).alias("own")))
+    tied = written(components(link(nodes, rule)).withColumnRenamed("node", "tied"))
     groups = (
-        tied.join(nodes, tied.node == nodes.fingerprint)
-        .groupBy("root")
-        .agg(F.min("own").alias("least"))
+        tied.join(nodes, tied.tied == nodes.node).groupBy("root").agg(F.min("own").alias("least"))
     )
-    moved = tied.join(groups, "root").select(F.col("node").alias("fingerprint"), "least")
+    moved = tied.join(groups, "root").select("tied", "least")
     return written(
-        nodes.join(moved, "fingerprint", "left").select(
-            "fingerprint", F.coalesce("least", "own").alias("first")
+        nodes.join(moved, nodes.node == moved.tied, "left").select(
+            "node", F.coalesce("least", "own").alias("first")
         )
     )
 
 
+def _prints(texts: DataFrame, shingle: int, seed: int, rule: Links64 | Links256) -> DataFrame:
+    """Fingerprints without the texts, and the node of each: the fingerprint, or its hash."""
+    prints = fingerprints(texts, shingle=shingle, seed=seed, rule=rule).drop("text")
+    names = columns(rule)
+    node = F.col(names[0]) if rule.words == 1 else F.xxhash64(*names)
+    return written(prints.withColumn("node", node))
+
+
 def near_duplicates(
-    docs: DataFrame, *, shingle: int = 4, budget: int = 4, seed: int = 42
+    docs: DataFrame, *, shingle: int = 4, seed: int = 42, rule: Links64 | Links256 = Links64()
 ) -> DataFrame:
-    """(doc_id, fingerprint bigint, component_id) for each row of `docs` (doc_id, text).
+    """(doc_id, `columns(rule)`, component_id) for each row of `docs` (doc_id, text).
 
-    Texts whose fingerprints differ in at most `budget` bits are linked; component_id is the
-    smallest doc_id reachable over links, the row's own included. Null ids are larger than
-    any; a component of null ids alone has component_id null. Repeated rows, and rows that
-    share an id, each get a row. An empty table gives an empty result.
+    Texts are linked by `rule`; component_id is the smallest doc_id reachable over links, the
+    row's own included. Null ids are larger than any; a component of null ids alone has
+    component_id null. Repeated rows, and rows that share an id, each get a row. An empty
+    table gives an empty result.
     """
     texts = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"))
-    prints = written(fingerprints(texts, shingle=shingle, seed=seed).drop("text"))
-    whole = _components(prints, F.col("doc_id"), budget)
-    return prints.join(whole, "fingerprint").select(
-        "doc_id", "fingerprint", F.col("first").alias("component_id")
+    prints = _prints(texts, shingle, seed, rule)
+    whole = _components(prints, F.col("doc_id"), rule)
+    return prints.join(whole, "node").select(
+        "doc_id", *columns(rule), F.col("first").alias("component_id")
     )
 
 
 def one_of_each(
-    docs: DataFrame, *, shingle: int = 5, budget: int = 4, seed: int = 42
+    docs: DataFrame, *, shingle: int = 5, seed: int = 42, rule: Links64 | Links256 = Links256()
 ) -> DataFrame:
     """The rows of `docs` that stay when each group of linked texts keeps one row.
 
-    Links are those of `near_duplicates`. The row with the smallest doc_id stays, null being
-    larger than any; among rows of that id, the one with the smallest hash of all columns;
-    of rows equal in all columns, one. All columns are kept as they are.
+    The row with the smallest doc_id stays, null being larger than any; among rows of that
+    id, the one with the smallest hash of all columns; of rows equal in all columns, one. All
+    columns are kept as they are.
 
     Fingerprints are taken once, without the other columns; the rows to drop, or the few
     rows to take once, are then told by id and hash.
@@ -322,10 +406,9 @@ def one_of_each(
             F.xxhash64(*names).alias("mark"),
         ).alias("name"),
     )
-    texts = rows.select("name", F.col("row.text").alias("text"))
-    prints = written(fingerprints(texts, shingle=shingle, seed=seed).drop("text"))
-    whole = _components(prints, F.col("name"), budget)
-    named = prints.groupBy("fingerprint", "name").agg(F.count("*").alias("n")).join(whole, "fingerprint")
+    prints = _prints(rows.select("name", F.col("row.text").alias("text")), shingle, seed, rule)
+    whole = _components(prints, F.col("name"), rule)
+    named = prints.groupBy("node", "name").agg(F.count("*").alias("n")).join(whole, "node")
     dropped = written(named.where(F.col("name") != F.col("first")).select("name"))
     repeated = written(named.where((F.col("name") == F.col("first")) & (F.col("n") > 1)).select("name"))
     kept = rows.join(dropped, _same(rows, dropped), "left_anti")
