@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.llm import (
     decontamination,
     divergence,
+    fuzzy_lines,
     language,
     mixing,
     sharding,
@@ -88,6 +89,12 @@ def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(docs).drop("text", "lang")
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document, and those that repeat a line kept elsewhere."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fuzzy_lines.duplicate_lines(docs).select("doc_id", "n_lines", "n_removed", "removed")
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SimHash of each document and the component that its links lead to."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, seed=SEED)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -14,16 +15,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="quillon-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see.
 
     It lies in `spark.checkpoint.dir` of the session. Where that is unset, as in tests on
     one machine, a temporary folder takes its place.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", top)
+    top = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{top.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
 
