@@ -113,7 +113,7 @@ def references(rows: DataFrame) -> DataFrame:
     )
     total = sum((F.col(f"c{i}") for i in range(1, n)), F.col("c0"))
     sums = sums.select(
-        "tongue", "words", F.array(*[F.col(f"c{i}") / total for i in range(n)]).alias("char_shares")
+        "tongue", "words", F.array(*[F.try_divide(F.col(f"c{i}"), total) for i in range(n)]).alias("char_shares")
     )
     counted = (
         rows.select("tongue", F.explode("letter_words").alias("word"))
@@ -131,7 +131,7 @@ def references(rows: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<nth:int,word:string,n:bigint>>")
     met = met.withColumn("top", F.coalesce("top", none))
     shares = [
-        F.coalesce(F.get("top", F.lit(i))["n"] / F.col("words"), F.lit(0.0)) for i in range(COMMON)
+        F.coalesce(F.try_divide(F.get("top", F.lit(i))["n"], F.col("words")), F.lit(0.0)) for i in range(COMMON)
     ]
     return met.select(
         "tongue",

@@ -82,7 +82,7 @@ def mix_sources(
     plan = written(_plan(cells, weights, max_epochs, share))
     met = rows.join(plan, rows.source.eqNullSafe(plan.planned), "left").drop("planned")
 
-    whole = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
+    whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     before_edge = F.coalesce(F.col("cell") < F.col("edge"), F.lit(False))
     at_edge = F.coalesce(F.col("cell") == F.col("edge"), F.lit(False))
 

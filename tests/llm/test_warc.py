@@ -1,0 +1,95 @@
+import base64
+import hashlib
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.llm import warc
+
+SCHEMA = "page_id bigint, url string, html string"
+PAGES = [
+    (1, "http://a/1", "<p>one</p>"),
+    (2, "http://a/2", "<p>one</p>"),
+    (3, "http://a/3", "<p>three</p>\r\n\r\nWARC/1.1\r\n\r\n"),
+    (4, None, None),
+    (5, "http://a/5\nx: y", ""),
+    (6, "http://a/ü", "ünï 漢字 " * 20_000),
+    (7, "http://a/7", "<p>one</p>"),
+    (7, "http://a/7", "<p>one</p>"),  # a repeated row, and the largest of its group
+    (None, "http://a/n", "<p>one</p>"),
+    (None, "http://a/m", "alone"),
+    (None, "http://a/m", "alone"),
+]
+
+
+def expected(pages):
+    out = []
+    for page_id, _, html in pages:
+        payload = (html or "").encode()
+        same = [p for p, _, h in pages if (h or "") == (html or "") and p is not None]
+        kept = max(same, default=None)
+        revisit = kept is not None and page_id != kept
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        out.append((page_id, len(payload), digest, "revisit" if revisit else "response", kept if revisit else None))
+    return Counter(out)
+
+
+def test_round_trip(make):
+    index = warc.write_archives(make(PAGES, SCHEMA).repartition(2))
+    rows = warc.read_records(index).collect()
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows)
+    assert got == expected(PAGES)
+    payloads = {(p, (h or "").encode()) for p, _, h in PAGES}
+    assert all((r.page_id, bytes(r.payload)) in payloads for r in rows if r.record_type == "response")
+
+
+def test_index_names_whole_records(make):
+    """Each range of the index is one gzip member, and the members fill the archive."""
+    index = warc.write_archives(make(PAGES, SCHEMA).coalesce(1)).collect()
+    by_file = {}
+    for r in index:
+        by_file.setdefault(r.file, []).append((r.offset, r.length))
+    for file, ranges in by_file.items():
+        data = open(file.removeprefix("file://"), "rb").read()
+        at = 0
+        for offset, length in sorted(ranges):
+            assert offset == at
+            assert zlib.decompress(data[offset : offset + length], 31).startswith(b"WARC/1.1\r\n")
+            at += length
+        assert at == len(data)
+
+
+def test_selected_records(make):
+    index = warc.write_archives(make(PAGES, SCHEMA))
+    rows = warc.read_records(index.where("page_id = 3")).collect()
+    assert [bytes(r.payload).decode() for r in rows] == [PAGES[2][2]]
+    assert warc.read_records(index.where("page_id = 4")).collect()[0].url is None
+
+
+def test_ranges_are_coalesced():
+    near = [{"file": "f", "offset": o, "length": 10} for o in (0, 10, 30)]
+    far = [{"file": "f", "offset": 10 * warc.GAP, "length": 10}, {"file": "g", "offset": 0, "length": 5}]
+    assert list(warc.coalesced(near + far)) == [
+        ("f", 0, [(0, 10), (10, 10), (30, 10)]),
+        ("f", 10 * warc.GAP, [(10 * warc.GAP, 10)]),
+        ("g", 0, [(0, 5)]),
+    ]
+    assert list(warc.coalesced([])) == []
+
+
+def test_a_changed_payload_is_refused(make):
+    index = warc.write_archives(make([(1, "u", "a" * 500)], SCHEMA))
+    r = index.first()
+    path = r.file.removeprefix("file://")
+    record = zlib.decompress(open(path, "rb").read(), 31).replace(b"aaaa", b"bbbb", 1)
+    with pytest.raises(ValueError, match="differ"):
+        warc._parsed(zlib.compress(record, wbits=31))
+
+
+def test_empty_and_clashing(make):
+    assert warc.read_records(warc.write_archives(make([], SCHEMA))).collect() == []
+    odd = make(PAGES, SCHEMA).withColumns({"sha": F.lit(1), "payload": F.lit(2), "same": F.lit(3)})
+    rows = warc.read_records(warc.write_archives(odd)).collect()
+    assert len(rows) == len(PAGES)
