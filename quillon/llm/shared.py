@@ -39,7 +39,7 @@ def written(df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[col(c) for c in df.columns])
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:

@@ -127,11 +127,13 @@ def _counter(path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
 def _trusted(text: str, longest_added: int) -> int:
     """Boundaries below this place are those of any text that begins with `text`.
 
-    The pattern decides on a pre-token by its own characters and the one after it, at most
-    3 from its start for a contraction, and for white space by the first other character
-    after it; an added token is seen if it fits.
+    The pattern decides on a pre-token by its own characters and the one after it, at most 3
+    from its start for a contraction, and on white space by the first other character after
+    it. An added token, before which the text is parted, is seen if it fits. So what comes
+    before a character that is no white space, and that an added token could begin at and
+    still fit, is certain.
     """
-    return min(len(text) - max(3, longest_added) + 1, len(text.rstrip()))
+    return len(text[: max(0, len(text) - max(3, longest_added) + 1)].rstrip())
 
 
 def _boundaries(encoding) -> list[tuple[int, int]]:

@@ -48,10 +48,10 @@ def test_files_are_sharded(make):
 def test_empty_table(none):
     out = external_shuffle(none)
     assert out.collect() == []
-    assert out.columns == [*none.columns, "slot", "shard"]
+    assert out.columns == [*none.columns, "shard", "slot"]
 
 
 def test_clashing_columns(odd):
     out = external_shuffle(odd.withColumns({"Shard": F.lit("x"), "bucket": F.lit("b"), "order": F.lit(1)}))
-    assert out.columns == [*odd.columns, "bucket", "order", "slot", "shard"]
+    assert out.columns == [*odd.columns, "bucket", "order", "shard", "slot"]
     assert out.where("bucket = 'b'").count() == odd.count()
