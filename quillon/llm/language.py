@@ -144,7 +144,8 @@ def phrases(segments: list[np.ndarray], model: Automata) -> np.ndarray:
     """How many longest matches with each language's text make up each segment.
 
     A phrase goes on while the automaton of the language has a transition, and the next
-    begins at the symbol that had none; a symbol that the language lacks is a phrase.
+    begins at the symbol that had none; a symbol that the language lacks is a phrase. A
+    state is the root only where no phrase is open.
     """
     sizes = np.array([len(s) for s in segments])
     order = np.argsort(-sizes, kind="stable")
@@ -155,14 +156,14 @@ def phrases(segments: list[np.ndarray], model: Automata) -> np.ndarray:
     live = np.searchsorted(-sizes[order], -np.arange(grid.shape[0]), "left")
     roots = model.roots[:, None].astype(np.int32)
     state = np.repeat(roots, len(segments), axis=1)
-    count = np.ones(state.shape, np.int64)
+    count = np.zeros(state.shape, np.int64)
     for t in range(grid.shape[0]):
         n = live[t]
         symbol = grid[t, :n]
         now = model.following[state[:, :n] * SYMBOLS + symbol]
         ended = now == 0
+        count[:, :n] += ended | (state[:, :n] == roots)
         if ended.any():
-            count[:, :n] += ended
             fresh = model.following[roots * SYMBOLS + symbol]
             now = np.where(ended, np.where(fresh == 0, roots, fresh), now)
         state[:, :n] = now

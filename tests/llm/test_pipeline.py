@@ -1,0 +1,80 @@
+"""The pipeline on a small table, each stage against what its operator's rule says."""
+
+from collections import Counter
+
+import pytest
+from odd_docs import ODD, prose
+from pyspark.sql import functions as F
+
+import __spark_entry__
+import corpus_pipeline as pipeline
+
+INSULTS = "idiot stupid loser scum moron"
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    """Documents with toxic, copied, contaminated and odd ones among them."""
+    top = str(tmp_path_factory.mktemp("sf"))
+    docs, labels = list(ODD), []
+    for i in range(100, 400):
+        words = prose(i, 60).split()
+        if i % 6 == 0:
+            words[5:5] = INSULTS.split()
+            words[40:40] = INSULTS.split()
+        labels.append((i, 1, int(i % 6 == 0)))
+        docs.append((i, " ".join(words), "en", f"src{i % 4}", 0))
+    docs += [(1000 + i, docs[100 + i][1], "en", "copies", 0) for i in range(20)]
+    items = [(1, " ".join(prose(7000, 30).split()))]
+    docs += [(2000 + i, f"{prose(900 + i, 20)} {items[0][1]} {prose(950 + i, 20)}", "en", "src1", 0) for i in range(5)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    extra = {n: F.lit(n) for n in ("row", "score", "name", "hits", "size", "copies", "node", "mark", "cell", "bucket")}
+    df = spark.createDataFrame(docs, schema).withColumns(extra)
+    df.write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{top}/benchmark.parquet")
+    return top
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    given, seen = docs.columns, {}
+    for name, stage in pipeline.STAGES:
+        docs = pipeline.written(stage(spark, docs, sf_dir))
+        seen[name] = docs.collect()
+        assert docs.columns[: len(given)] == given
+        for c in ("row", "score", "name", "hits", "size", "copies", "node", "mark", "cell", "bucket"):
+            assert {r[c] for r in seen[name]} == {c}
+    ids = {k: Counter(r.doc_id for r in v) for k, v in seen.items()}
+    clean = [i for i in range(100, 400) if i % 6]
+    assert not any(i % 6 == 0 and 100 <= i < 400 for i in ids["toxicity"] if i is not None)
+    assert all(ids["toxicity"][i] for i in clean)
+    assert ids["near-duplicates"].keys() <= ids["toxicity"].keys()
+    assert set(ids["near-duplicates"].values()) <= {1, 2}  # ids that different texts share
+    assert not any(1000 <= i < 1020 for i in ids["near-duplicates"] if i is not None)
+    assert all(ids["near-duplicates"][i] for i in clean)
+    assert any(i is not None and i >= 2000 for i in ids["near-duplicates"])
+    assert not any(i is not None and i >= 2000 for i in ids["decontamination"])
+    assert all(ids["decontamination"][i] for i in clean)
+    before = Counter(tuple(r) for r in seen["decontamination"])
+    after = Counter(tuple(r) for r in seen["mixing"])
+    assert after.keys() <= before.keys() and max(after.values()) <= 3 * max(before.values())
+    last = seen["sharding"]
+    assert Counter(tuple(r)[: len(given)] for r in last) == after
+    slots = {}
+    for r in last:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sorted(map(tuple, pipeline.run(spark, sf_dir).collect()), key=repr) == sorted(map(tuple, last), key=repr)
+
+
+def test_empty_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        docs = pipeline.written(stage(spark, docs, sf_dir))
+        assert docs.count() == 0
+
+
+def test_registered():
+    assert __spark_entry__.queries()["pipeline"] is pipeline.run
+    assert ("pipeline" in __spark_entry__.oracle_sql()) == bool(pipeline.ORACLE_SQL)

@@ -1,0 +1,46 @@
+"""The registered queries: their columns, and their rows where SQL can tell them."""
+
+import duckdb
+import pytest
+
+from quillon.llm import queries, sql
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = {
+    1: "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    2: "doc_id bigint, held_out boolean, score double, predicted int",
+    3: "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+    "n_repeat_words bigint, base_failed boolean",
+    4: "doc_id bigint, n_lines bigint, n_removed bigint, removed array<int>",
+    5: "doc_id bigint, fingerprint string, component_id bigint",
+    6: "doc_id bigint, held_out boolean, lang_pred string, score double",
+    7: "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    8: "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    9: "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    10: "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+}
+QUERIES = queries.queries()
+
+
+def test_one_query_for_each_operator():
+    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(COLUMNS)
+    assert set(sql.ORACLE) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_columns_and_rows(spark, name):
+    df = QUERIES[name](spark, SF)
+    given = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    assert given.startswith(COLUMNS[int(name[2:].split("_")[0])])
+    rows = [tuple(r) for r in df.collect()]
+    key = "page_id" if name.startswith("op10_") else "doc_id"
+    table = "pages" if key == "page_id" else "documents"
+    with duckdb.connect() as db:
+        for t in ("documents", "pages", "labels", "benchmark"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        ids = [r[0] for r in db.execute(f"SELECT {key} FROM {table} ORDER BY 1").fetchall()]
+        assert sorted(r[df.columns.index(key)] for r in rows) == ids
+        if name in sql.ORACLE:
+            want = db.execute(sql.ORACLE[name])
+            assert [c[0] for c in want.description] == df.columns
+            assert sorted(rows, key=repr) == sorted(want.fetchall(), key=repr)
