@@ -1,0 +1,99 @@
+"""Amounts that are held exactly, and those that are refused, with ANSI on and off."""
+
+from contextlib import contextmanager
+from decimal import Decimal
+
+import duckdb
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from quillon.functions import net_units, units_to_money
+
+
+@contextmanager
+def ansi(spark, on):
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(on).lower())
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def net(spark, rows):
+    df = spark.createDataFrame(rows, "price double, discount double").coalesce(1)
+    units = net_units(F.col("price"), F.col("discount"))
+    return [r[0] for r in df.select(units_to_money(units)).collect()]
+
+
+@pytest.mark.parametrize("on", [True, False])
+def test_held(spark, on):
+    rows = [
+        (100.0, 0.05, "95"),
+        (0.01, 0.1, "0.009"),
+        (-19.99, 0.07, "-18.5907"),  # a refund
+        (10.0, 1.5, "-5"),  # a discount above the price
+        (10.0, -0.05, "10.5"),  # a surcharge
+        (0.0, 0.0, "0"),
+        (0.07, 0.29, "0.0497"),  # doubles that are noisy times 100
+        (1.15, 0.57, "0.4945"),
+        (9_000_000_000_000.25, 0.0, "9000000000000.25"),
+        (90_000_000_000_000.0, 0.0, "90000000000000"),
+        (-90_000_000_000_000.0, 0.0, "-90000000000000"),
+    ]
+    with ansi(spark, on):
+        assert net(spark, [r[:2] for r in rows]) == [Decimal(r[2]) for r in rows]
+
+
+@pytest.mark.parametrize("on", [True, False])
+def test_null(spark, on):
+    with ansi(spark, on):
+        assert net(spark, [(None, 0.1), (1.0, None), (None, None), (None, 0.055), (0.004, None)]) == [None] * 5
+
+
+@pytest.mark.parametrize("on", [True, False])
+@pytest.mark.parametrize(
+    "price, discount",
+    [
+        (0.004, 0.0),
+        (10.005, 0.0),
+        (-10.005, 0.0),
+        (100.0, 0.055),
+        (100.0, 0.125),
+        (2e14, 0.0),
+        (1.85e15, 0.0),
+        (-2e14, 0.0),
+        (90_000_000_000_000.0, -0.2),  # 19 digits
+        (1.0, 1e15),
+        (float("nan"), 0.0),
+        (float("inf"), 0.0),
+        (1.0, float("nan")),
+        (1.0, float("-inf")),
+    ],
+)
+def test_refused(spark, on, price, discount):
+    with ansi(spark, on), pytest.raises(PySparkException, match="not whole cents"):
+        net(spark, [(5.0, 0.0), (price, discount)])
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_independent_sum(spark, sf):
+    """The totals are those of plain doubles, which share none of the assumptions."""
+    top = f"/root/testdata/sf{sf}"
+    plain = dict(
+        duckdb.sql(
+            f"""
+            SELECT c_nationkey, sum(l_extendedprice * (1 - l_discount))
+            FROM '{top}/lineitem.parquet'
+            JOIN '{top}/orders.parquet' ON l_orderkey = o_orderkey
+            JOIN '{top}/customer.parquet' ON o_custkey = c_custkey
+            GROUP BY c_nationkey
+            """
+        ).fetchall()
+    )
+    got = {r.n_nationkey: r.revenue for r in contract.flagship_revenue_by_nation(spark, top).collect()}
+    assert len(got) == 25 and got.keys() == plain.keys()
+    assert all(got[k] == pytest.approx(plain[k], rel=1e-9) for k in got)
