@@ -86,7 +86,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain counts of each document and whether its histograms fit its language."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return divergence.judge(docs).drop("text", "lang")
+    rounded = {c: F.round(c, 6) for c in ("word_distance", "char_distance")}
+    return divergence.judge(docs).drop("text", "lang").withColumns(rounded)
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,69 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
 """
+
+ORACLE["op3_divergence"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce('=' || lang, '') AS tongue
+    FROM documents
+), parted AS (
+    SELECT *, length(t) AS n_chars,
+           length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS capitals,
+           length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters,
+           length(regexp_replace(t, '[^\p{N}]+', '', 'g')) AS digits,
+           length(regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g')) AS spaces,
+           length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')) AS points,
+           length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+           regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+           list_transform(regexp_extract_all(t, '\p{L}+'), lambda x: lower(x)) AS letter_words
+    FROM docs
+), classes AS (
+    SELECT r, tongue, n_chars, unnest(range(6)) AS k,
+           unnest([capitals, letters - capitals, digits, spaces, points,
+                   n_chars - letters - digits - spaces - points]) AS n
+    FROM parted
+), class_shares AS (
+    SELECT tongue, k, sum(n) / sum(sum(n)) OVER (PARTITION BY tongue) AS q FROM classes GROUP BY tongue, k
+), char_terms AS (
+    SELECT r, n / n_chars AS p, q FROM classes JOIN class_shares USING (tongue, k) WHERE n_chars >= 300
+), char_distances AS (
+    SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END
+                                + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END), 0)) AS char_distance
+    FROM char_terms GROUP BY r
+), counted AS (
+    SELECT tongue, word, count(*) AS n, sum(count(*)) OVER (PARTITION BY tongue) AS total,
+           row_number() OVER (PARTITION BY tongue ORDER BY count(*) DESC, word) AS nth
+    FROM (SELECT tongue, unnest(letter_words) AS word FROM parted) GROUP BY tongue, word
+), common AS (
+    SELECT tongue, word, n / total AS q FROM counted WHERE nth <= 16
+), own AS (
+    SELECT r, word, count(*) AS n FROM (SELECT r, unnest(letter_words) AS word FROM parted) GROUP BY r, word
+), word_terms AS (
+    SELECT r, coalesce(own.n, 0) / len(letter_words) AS p, q
+    FROM parted JOIN common USING (tongue) LEFT JOIN own USING (r, word) WHERE len(letter_words) >= 50
+), with_rest AS (
+    SELECT * FROM word_terms UNION ALL SELECT r, 1 - sum(p), 1 - sum(q) FROM word_terms GROUP BY r
+), word_distances AS (
+    SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) / 2 ELSE 0 END
+                                + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) / 2 ELSE 0 END), 0)) AS word_distance
+    FROM with_rest GROUP BY r
+), windows AS (
+    SELECT r, i, array_to_string(words[i:i + 7], ' ') AS w
+    FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM parted WHERE len(words) > 7)
+), repeated AS (
+    SELECT r, count(DISTINCT j) AS n
+    FROM (SELECT r, unnest(range(i, i + 8)) AS j
+          FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS times FROM windows) WHERE times > 1)
+    GROUP BY r
+), base AS (
+    SELECT r, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+           n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+           coalesce(n, 0)::BIGINT AS n_repeat_words, len(words) < 20 OR 100 * coalesce(n, 0) > 30 * len(words) AS base_failed
+    FROM parted LEFT JOIN repeated USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       round(word_distance, 6) AS word_distance, round(char_distance, 6) AS char_distance,
+       NOT base_failed AND coalesce(word_distance, 0) <= 0.32 AND coalesce(char_distance, 0) <= 0.22 AS kept
+FROM base LEFT JOIN word_distances USING (r) LEFT JOIN char_distances USING (r)
+"""
