@@ -16,7 +16,7 @@ from quillon.llm.words import LETTERS_DIGITS, WordHasher, slices
 
 #: Bytes of training text in a shard, words in one suffix array, and bytes of benchmark
 #: text that are searched at once. A task holds a shard and a block of the benchmark.
-SHARD_BYTES, ARRAY_WORDS, BLOCK_BYTES = 4 << 20, 1 << 20, 16 << 20
+SHARD_BYTES, ARRAY_WORDS, BLOCK_BYTES = 4 << 20, 1 << 20, 4 << 20
 
 SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
 FOUND = [
@@ -45,8 +45,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) ->
 
     No row moves: each task cuts its rows into shards, builds a suffix array over the words
     of a shard, and finds every passage in it by binary search, which gives the locations.
-    The benchmark comes to the tasks as sorted passages in blocks of at most twice
-    BLOCK_BYTES of text, one after another; the blocks' sizes are checked before.
+    The benchmark comes to the tasks as its distinct passages, in blocks of at most twice
+    BLOCK_BYTES of text (or one item, if that is longer) that are searched one after another;
+    the blocks' sizes are checked before.
     """
     docs = without(docs, ADDED)
     added = StructType([*docs.schema.fields, *FOUND])
@@ -61,19 +62,19 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) ->
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[tuple]:
     """The benchmark's passages, block by block; an empty one at least."""
     items = written(
-        benchmark.where(col("text").isNotNull()).select(
+        benchmark.where(col("text").isNotNull())
+        .select(
             col("item_id").cast("string").alias("item_id"), col("text").cast("string").alias("text")
         )
+        .distinct()
     ).withColumn("size", F.octet_length("text").cast("bigint"))
-    total = items.agg(F.sum("size")).first()[0] or 0
-    n = max(1, math.ceil(total / BLOCK_BYTES))
+    sizes = items.agg(F.sum("size").alias("all"), F.max("size").alias("longest")).first()
+    bound = max(2 * BLOCK_BYTES, sizes.longest or 0)
+    n = max(1, math.ceil((sizes.all or 0) / BLOCK_BYTES))
     while n > 1:
         block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-        most = items.groupBy(block).agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0]
-        if most <= 2 * BLOCK_BYTES:
+        if items.groupBy(block).agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] <= bound:
             break
-        if n > 64 * math.ceil(total / BLOCK_BYTES):
-            raise ValueError(f"an item, or copies of one, exceed {BLOCK_BYTES} bytes")
         n *= 2
     for b in range(n):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
