@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,11 +95,74 @@ MARKS = (
 _AT = pa.list_(pa.struct([("at", pa.int64()), ("before", pa.int64())]))
 
 
-def _load(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
-    from tokenizers import Tokenizer
+class Encoder:
+    """Counts tokens with the library, each different word of a task once.
 
-    return Tokenizer.from_file(path)
+    Before a space that is followed by another kind of character the pattern always begins a
+    pre-token, and what stands before does not depend on what follows. So a text is cut there,
+    and its count is the sum of its words' counts, which are kept. A text that holds one of
+    the tokenizer's added tokens is left to the library whole.
+    """
+
+    #: Words whose counts are kept at most, before all are forgotten.
+    KEPT = 1 << 19
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.longest_added = max(map(len, self.added), default=0)
+        self.counts: dict[str, int] = {}
+
+    def words(self, text: str) -> list[str] | None:
+        """The text cut into words, or None if it holds an added token."""
+        if any(a in text for a in self.added):
+            return None
+        if "\0" in text or UNEVEN.search(text):
+            return CUT.split(text)
+        return text.replace(" ", "\0 ").split("\0")
+
+    def learn(self, parted: list[list[str] | None]) -> None:
+        if len(self.counts) > self.KEPT:
+            self.counts.clear()
+        fresh = list(set().union(*filter(None, parted)).difference(self.counts))
+        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        self.counts.update(zip(fresh, map(len, found), strict=True))
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text."""
+        parted = [self.words(t) for t in texts]
+        self.learn(parted)
+        return [
+            len(self.tokenizer.encode(t, add_special_tokens=False))
+            if words is None
+            else sum(map(self.counts.__getitem__, words))
+            for t, words in zip(texts, parted, strict=True)
+        ]
+
+    def boundaries(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Per text, places where pre-tokens begin, each with the number of tokens before; the
+        last place is the end of the text."""
+        parted = [self.words(t) for t in texts]
+        self.learn(parted)
+        out = []
+        for text, words in zip(texts, parted, strict=True):
+            if words is None:
+                encoding = self.tokenizer.encode(text, add_special_tokens=False)
+                ids, offsets = encoding.word_ids, encoding.offsets
+                places = [(offsets[i][0], i) for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+                out.append([*places, (len(text), len(ids))])
+            else:
+                at = accumulate(map(len, words), initial=0)
+                before = accumulate(map(self.counts.__getitem__, words), initial=0)
+                out.append(list(zip(at, before, strict=True)))
+        return out
+
+
+#: Cuts before a space that no white space follows; texts with any other space.
+CUT, UNEVEN = re.compile(r"(?= \S)"), re.compile(r" (?!\S)")
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
@@ -110,13 +175,9 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
 
 def _counter(path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(path)
+        encoder = Encoder(path)
         for batch in batches:
-            counts = [
-                len(e)
-                for _, texts in _texts(batch)
-                for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ]
+            counts = [n for _, texts in _texts(batch) for n in encoder.totals(texts)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, "n_tokens"]
             )
@@ -136,31 +197,23 @@ def _trusted(text: str, longest_added: int) -> int:
     return len(text[: max(0, len(text) - max(3, longest_added) + 1)].rstrip())
 
 
-def _boundaries(encoding) -> list[tuple[int, int]]:
-    """Starts of pre-tokens, each with the number of tokens before."""
-    ids, offsets = encoding.word_ids, encoding.offsets
-    return [(offsets[i][0], i) for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
-
-
 def _marker(path: str, chunk: int, overlap: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(path)
-        added = max((len(t.content) for t in tokenizer.get_added_tokens_decoder().values()), default=0)
+        encoder = Encoder(path)
         for batch in batches:
             numbers, lasts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             heads, tails, totals = [], [], []
             for start, texts in _texts(batch):
-                found = tokenizer.encode_batch(texts, add_special_tokens=False)
-                for k, (text, encoding) in enumerate(zip(texts, found, strict=True), start):
-                    at, places = numbers[k] * chunk, _boundaries(encoding)
-                    sure = _trusted(text, added)
+                found = encoder.boundaries(texts)
+                for k, (text, places) in enumerate(zip(texts, found, strict=True), start):
+                    at, sure = numbers[k] * chunk, _trusted(text, encoder.longest_added)
                     heads.append([{"at": p + at, "before": n} for p, n in places if p < overlap])
                     tails.append(
                         [{"at": p + at, "before": n} for p, n in places if chunk <= p < sure]
                         if numbers[k] < lasts[k]
                         else []
                     )
-                    totals.append(len(encoding))
+                    totals.append(places[-1][1])
             columns = [pa.array(heads, _AT), pa.array(tails, _AT), pa.array(totals, pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], *columns], names=["text_id", "chunk", "last", "head", "tail", "total"]

@@ -47,17 +47,36 @@ def test_overlap_is_widened(make):
     check(make([(1, "one " + "y" * 700 + " two " * 100, None, None, None)]), chunk=50, overlap=5)
 
 
+ENCODER = tokens.Encoder(PATH)
+
+
+def library_boundaries(text):
+    e = LIBRARY.encode(text, add_special_tokens=False)
+    starts = [i for i in range(len(e.ids)) if i == 0 or e.word_ids[i] != e.word_ids[i - 1]]
+    return {e.offsets[i][0]: i for i in starts}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_boundaries(seed):
+    """Words begin where the library's pre-tokens do, with as many tokens before."""
+    text = random_text(random.Random(seed), 80)
+    for t in (text, text.replace("<|", ""), " ".join(text.replace("<|", "").split())):
+        whole = library_boundaries(t)
+        (places,) = ENCODER.boundaries([t])
+        assert all(whole[p] == n for p, n in places if 0 < p < len(t))
+        assert places[-1] == (len(t), count(t))
+        assert ENCODER.totals([t]) == [count(t)]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_trusted_boundaries(seed):
-    """What the first part of a text shows of its boundaries below the trusted place is what
-    the whole text has."""
-    rng = random.Random(seed)
-    text = random_text(rng, 60)
-    whole = {p for p, _ in tokens._boundaries(LIBRARY.encode(text, add_special_tokens=False))}
+    """What the first part of a text shows of the library's boundaries below the trusted
+    place is what the whole text has."""
+    text = random_text(random.Random(seed), 60)
+    whole = library_boundaries(text)
     for cut in range(1, len(text)):
-        part = text[:cut]
-        sure = tokens._trusted(part, len("<|endoftext|>"))
-        seen = {p for p, _ in tokens._boundaries(LIBRARY.encode(part, add_special_tokens=False))}
+        sure = tokens._trusted(text[:cut], len("<|endoftext|>"))
+        seen = library_boundaries(text[:cut])
         assert {p for p in seen if p < sure} == {p for p in whole if p < sure}
 
 
