@@ -68,7 +68,9 @@ class WordHasher:
         edge = np.flatnonzero(np.diff(np.concatenate(([False], bytes_ != 32, [False])).view(np.int8)))
         starts, ends = edge[::2], edge[1::2]
         if b - a > STEP:  # one word longer than a part
-            up = np.multiply.accumulate(np.concatenate(([1], np.full(b - a - 1, self.up[1]))).astype(np.uint64))
+            up = np.full(b - a, self.up[1], np.uint64)
+            up[0] = 1
+            up = np.multiply.accumulate(up)
             inverse = np.array([pow(int(self.down[1]), int(s), 1 << 64) for s in starts], np.uint64)
         else:
             up, inverse = self.up[: b - a], self.down[starts]
