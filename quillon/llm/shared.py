@@ -42,6 +42,37 @@ def written(df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*[col(c) for c in df.columns])
 
 
+#: Bits of a filter, kept as words of 64: at most 2**18 rows, however many keys it holds.
+FILTER_BITS = 1 << 24
+
+
+def _slot(key: Column) -> tuple[Column, Column]:
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
+    return F.floor(slot / 64), bit
+
+
+def bit_filter(keys: DataFrame, key: Column) -> DataFrame:
+    """A table of bits, of a fixed greatest size, by which `may_hold` tells most rows without
+    one of the keys."""
+    word, bit = _slot(key)
+    return written(keys.groupBy(word.alias("filter_word")).agg(F.bit_or(bit).alias("filter_bits")))
+
+
+def may_hold(df: DataFrame, key: Column, filter_: DataFrame) -> DataFrame:
+    """`df` with `maybe`: true for every row whose key the filter holds, and for few others.
+
+    No row moves. With more keys than the filter can tell apart more rows are true; what is
+    true must be compared with the keys in any case.
+    """
+    word, bit = _slot(key)
+    met = df.withColumn("word_", word).join(
+        F.broadcast(filter_), F.col("word_") == F.col("filter_word"), "left"
+    )
+    maybe = F.coalesce(F.col("filter_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return met.withColumn("maybe", maybe).drop("word_", "filter_word", "filter_bits")
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """`df` without columns that clash, letter case aside, with `names`."""
     taken = {n.lower() for n in names}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quillon.llm.components import components
-from quillon.llm.shared import col, without, written
+from quillon.llm.shared import bit_filter, col, may_hold, without, written
 from quillon.llm.words import mixed, slices
 
 #: Bytes of text fingerprinted at once; shingles summed in one go (16-bit counters).
@@ -394,8 +394,10 @@ def one_of_each(
     id, the one with the smallest hash of all columns; of rows equal in all columns, one. All
     columns are kept as they are.
 
-    Fingerprints are taken once, without the other columns; the rows to drop, or the few
-    rows to take once, are then told by id and hash.
+    Fingerprints are taken once, without the other columns. The rows to drop, and those to
+    take once of several equal ones, are told by id and hash: a filter of a fixed greatest
+    size lets most other rows pass where they lie, so that the texts that move are about
+    those of the copies, at any size of the table.
     """
     names = [col(c) for c in docs.columns]
     rows = docs.select(
@@ -409,12 +411,14 @@ def one_of_each(
     prints = _prints(rows.select("name", F.col("row.text").alias("text")), shingle, seed, rule)
     whole = _components(prints, F.col("name"), rule)
     named = prints.groupBy("node", "name").agg(F.count("*").alias("n")).join(whole, "node")
-    dropped = written(named.where(F.col("name") != F.col("first")).select("name"))
-    repeated = written(named.where((F.col("name") == F.col("first")) & (F.col("n") > 1)).select("name"))
-    kept = rows.join(dropped, _same(rows, dropped), "left_anti")
-    once = kept.join(repeated, _same(kept, repeated), "left_semi").dropDuplicates(["name"])
-    rest = kept.join(repeated, _same(kept, repeated), "left_anti")
-    return rest.unionByName(once).select("row.*")
+    first = F.col("name") == F.col("first")
+    told = written(named.where(~first | (F.col("n") > 1)).select("name", first.alias("once")))
+    name = F.col("name")
+    marked = may_hold(rows, name, bit_filter(told, name))
+    dropped = told.where(~F.col("once"))
+    maybe = marked.where("maybe")
+    kept = maybe.join(dropped, _same(maybe, dropped), "left_anti").dropDuplicates(["name"])
+    return marked.where(~F.col("maybe")).unionByName(kept).select("row.*")
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
