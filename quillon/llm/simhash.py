@@ -22,7 +22,7 @@ SLICE_BYTES, LANE = 2 << 20, 32768
 
 #: Rows of a block of the trie at most, about; fingerprints in a leaf; node pairs followed at
 #: once.
-BLOCK, LEAF, CHUNK = 32768, 8, 1 << 17
+BLOCK, LEAF, CHUNK = 32768, 32, 1 << 14
 
 
 class Links64(NamedTuple):
@@ -166,40 +166,44 @@ def _leading(x: np.ndarray) -> np.ndarray:
 
 
 class Links:
-    """Which of n members are connected so far; keeps an edge for each two parts joined."""
+    """Which of n members are connected so far; keeps an edge for each two parts joined.
+
+    `parent` is a view of the roots that is renewed now and then, at a cost that the pairs
+    looked at since then outweigh. What it shows as connected is; it may lag behind.
+    """
 
     def __init__(self, n: int) -> None:
-        self.parent = np.arange(n)
         self.edges: list[tuple[int, int]] = []
+        self.tree = list(range(n))
+        self.looked = 0
+        self._renew()
+
+    def _renew(self) -> None:
+        roots = np.array(self.tree, np.int64)
+        while (roots != roots[roots]).any():
+            roots = roots[roots]
+        self.parent, self.tree, self.looked = roots, roots.tolist(), 0
+        self.runs = np.cumsum(np.concatenate(([0], roots[1:] != roots[:-1])))
 
     def join(self, u: np.ndarray, v: np.ndarray) -> None:
         apart = self.parent[u] != self.parent[v]
-        if not apart.any():
-            return
-        parent, before = self.parent.tolist(), len(self.edges)
+        tree, before = self.tree, len(self.edges)
         for i, j in zip(u[apart].tolist(), v[apart].tolist(), strict=True):
             a, b = i, j
-            while parent[a] != a:
-                a = parent[a]
-            while parent[b] != b:
-                b = parent[b]
+            while tree[a] != a:
+                a = tree[a]
+            while tree[b] != b:
+                b = tree[b]
             if a != b:
-                parent[max(a, b)] = min(a, b)
+                tree[max(a, b)] = min(a, b)
                 self.edges.append((i, j))
-            parent[i] = parent[j] = min(a, b)
-        if len(self.edges) > before:
-            roots = np.array(parent)
-            while (roots != roots[roots]).any():
-                roots = roots[roots]
-            self.parent = roots
-            self.runs = np.cumsum(np.concatenate(([0], roots[1:] != roots[:-1])))
-
-    runs: np.ndarray | None = None
+            tree[i] = tree[j] = min(a, b)
+        self.looked += int(apart.sum()) + len(self.edges) - before
+        if 8 * self.looked >= len(tree):
+            self._renew()
 
     def uniform(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether the members from low to high are all connected."""
-        if self.runs is None:
-            return high - low == 1
         return self.runs[low] == self.runs[high - 1]
 
 
