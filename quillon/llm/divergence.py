@@ -108,18 +108,18 @@ def references(rows: DataFrame) -> DataFrame:
     """(tongue, common, word_shares, char_shares) from all rows of a language."""
     n = 3 + len(CLASSES)
     sums = rows.groupBy("tongue").agg(
-        *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n)],
-        F.sum(F.size("letter_words")).alias("words"),
+        *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n)]
     )
     total = sum((F.col(f"c{i}") for i in range(1, n)), F.col("c0"))
     sums = sums.select(
-        "tongue", "words", F.array(*[F.try_divide(F.col(f"c{i}"), total) for i in range(n)]).alias("char_shares")
+        "tongue", F.array(*[F.try_divide(F.col(f"c{i}"), total) for i in range(n)]).alias("char_shares")
     )
     counted = (
         rows.select("tongue", F.explode("letter_words").alias("word"))
         .groupBy("tongue", "word")
         .agg(F.count("*").alias("n"))
     )
+    words = counted.groupBy("tongue").agg(F.sum("n").alias("words"))
     nth = F.row_number().over(Window.partitionBy("tongue").orderBy(F.desc("n"), "word"))
     top = (
         counted.withColumn("nth", nth)
@@ -127,7 +127,7 @@ def references(rows: DataFrame) -> DataFrame:
         .groupBy("tongue")
         .agg(F.sort_array(F.collect_list(F.struct("nth", "word", "n"))).alias("top"))
     )
-    met = sums.join(top, "tongue", "left")
+    met = sums.join(top, "tongue", "left").join(words, "tongue", "left")
     none = F.array().cast("array<struct<nth:int,word:string,n:bigint>>")
     met = met.withColumn("top", F.coalesce("top", none))
     shares = [
