@@ -24,6 +24,9 @@ SLICE_BYTES, LANE = 2 << 20, 32768
 #: once.
 BLOCK, LEAF, CHUNK = 32768, 32, 1 << 14
 
+#: What tells the groups apart in which fingerprints are compared: a piece, and two parts of blocks.
+GROUP = ("piece", "x", "x_part", "y", "y_part")
+
 
 class Links64(NamedTuple):
     """Texts link if their 64-bit fingerprints differ in at most `budget` bits."""
@@ -299,12 +302,44 @@ def _compare(
 
 def link(nodes: DataFrame, rule: Links64 | Links256) -> DataFrame:
     """Edges (u, v) that connect those of `nodes` (node bigint, and `columns(rule)`) that
-    link: for each piece of the fingerprints and each two blocks of them, a spanning forest.
+    link: for each piece of the fingerprints and each two parts of blocks of them, a spanning
+    forest.
+
+    Rows are a few numbers each, sent once per pair of parts; a group emits fewer edges than it
+    has members, never all pairs.
+    """
+    names = columns(rule)
+
+    def compare(table: pa.Table) -> pa.Table:
+        second, value, node = (table.column(c).to_numpy() for c in ("second", "value", "node"))
+        words = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+        order = np.lexsort((node, value.view(np.uint64)))
+        parts = [order[second[order] == k] for k in (0, 1)]
+        edges, within = [], table.column("within")[0].as_py()
+        if within or all(len(p) for p in parts):
+            members = [Members(value[p].view(np.uint64), words[p]) for p in parts]
+            other = None if within else members[1]
+            edges = neighbours(members[0], other, rule.piece_budget, rule.budget)
+        every = node[np.concatenate(parts)]
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.table({"u": every[ends[:, 0]], "v": every[ends[:, 1]]})
+
+    return dealt(nodes, rule).groupBy(*GROUP).applyInArrow(compare, "u bigint, v bigint")
 
-    Blocks are the nodes of the trie at a depth at which they hold about `rule.block` rows,
-    so the pairs of blocks within the budget are the first step of the traversal, and each
-    such pair is one group of rows. Rows are a few numbers each, sent once per pair; a group
-    emits fewer edges than it has members, never all pairs.
+
+def dealt(nodes: DataFrame, rule: Links64 | Links256) -> DataFrame:
+    """The rows of `nodes`, once for each group (columns GROUP) in which they are compared, with
+    `value`, the piece, `second`, 1 for the second part of the group, and `within`, whether the
+    group is one part that is compared with itself.
+
+    Blocks are the nodes of the trie at a depth at which they hold about `rule.block` rows, so
+    the pairs of blocks within the budget are the first step of the traversal. Fingerprints
+    need not be spread evenly: close ones share prefixes, or whole pieces. The rows of each
+    block are counted, and a block of more than twice `rule.block` is parted by a hash of the
+    nodes, which are distinct, into parts of `rule.block` on average. Each two parts of two
+    blocks within the budget are a group, so none holds more than about four times
+    `rule.block`, whatever the fingerprints are. The table of blocks in parts, which is
+    broadcast, has a row for each 2 * `rule.block` rows of a piece at most.
     """
     n = nodes.count()
     names = columns(rule)
@@ -316,31 +351,41 @@ def link(nodes: DataFrame, rule: Links64 | Links256) -> DataFrame:
         pieces = [p for c in pieces for p in (F.shiftright(c, 32), c)]
         pieces = [F.shiftleft(p, 32) for p in pieces]
     block = F.shiftrightunsigned("value", 64 - depth).cast("int") if depth else F.lit(0)
-    rows = (
-        nodes.select("node", *names, F.posexplode(F.array(*pieces)).alias("piece", "value"))
-        .select("*", block.alias("block"))
-        .withColumn("flip", F.explode(F.lit(flips)))
-        .withColumn("other", F.col("block").bitwiseXOR(F.col("flip")))
-        .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-        .drop("other", "flip")
+    rows = nodes.select("node", *names, F.posexplode(F.array(*pieces)).alias("piece", "value"))
+    rows = rows.select("*", block.alias("block"))
+    large = (
+        rows.groupBy("piece", "block").agg(F.count("*").alias("n")).where(F.col("n") > 2 * rule.block)
+    )
+    large = written(large.withColumn("n", F.ceil(F.col("n") / rule.block).cast("int")))
+
+    def parts(of: str) -> DataFrame:
+        return F.broadcast(large.toDF(f"{of}_piece", f"{of}_block", f"{of}_parts"))
+
+    def met(rows: DataFrame, of: str) -> DataFrame:
+        same = (F.col("piece") == F.col(f"{of}_piece")) & (F.col(of) == F.col(f"{of}_block"))
+        found = rows.join(parts(of), same, "left").drop(f"{of}_piece", f"{of}_block")
+        return found.withColumn(f"{of}_parts", F.coalesce(f"{of}_parts", F.lit(1)))
+
+    rows = met(rows, "block").withColumn("own", F.pmod(F.xxhash64("node"), F.col("block_parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.lit(flips))).withColumn("other", F.col("block").bitwiseXOR(F.col("other")))
+    rows = met(rows, "other").withColumn("their", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
+    mine, theirs = F.struct("block", "own"), F.struct(F.col("other").alias("block"), F.col("their").alias("own"))
+    return (
+        rows.withColumns({"one": F.least(mine, theirs), "two": F.greatest(mine, theirs)})
+        .withColumns({"second": (mine > theirs).cast("int"), "within": mine == theirs})
+        .select(
+            "node",
+            *names,
+            "value",
+            "second",
+            "within",
+            "piece",
+            F.col("one.block").alias("x"),
+            F.col("one.own").alias("x_part"),
+            F.col("two.block").alias("y"),
+            F.col("two.own").alias("y_part"),
+        )
     )
-
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        _, x, y = (k.as_py() for k in key)
-        block, value, node = (table.column(c).to_numpy() for c in ("block", "value", "node"))
-        words = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
-        order = np.lexsort((node, value.view(np.uint64)))
-        parts = [order[block[order] == k] for k in ((x,) if x == y else (x, y))]
-        edges = []
-        if all(len(p) for p in parts):
-            members = [Members(value[p].view(np.uint64), words[p]) for p in parts]
-            other = members[1] if len(members) > 1 else None
-            edges = neighbours(members[0], other, rule.piece_budget, rule.budget)
-        every = node[np.concatenate(parts)]
-        ends = np.array(edges, np.int64).reshape(-1, 2)
-        return pa.table({"u": every[ends[:, 0]], "v": every[ends[:, 1]]})
-
-    return rows.groupBy("piece", "x", "y").applyInArrow(compare, "u bigint, v bigint")
 
 
 def _components(prints: DataFrame, first: Column, rule: Links64 | Links256) -> DataFrame:

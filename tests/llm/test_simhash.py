@@ -143,3 +143,25 @@ def test_components(spark):
     touched = {n for a, b in edges if a != b for n in (a, b)}
     assert got == {n: want[n] for n in touched}
     assert components(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("words", [1, 4])
+def test_near_copies_are_parted(spark, words):
+    """Most fingerprints share their first bits, and whole pieces; no group holds them all."""
+    rng = np.random.default_rng(3)
+    rule = Links64(block=64) if words == 1 else Links256(block=64)
+    base = rng.integers(0, 2**64, (300, words), dtype=np.uint64)
+    close = np.repeat(base[:1], 900, axis=0)
+    close[:, -1] ^= np.array([sum(1 << int(b) for b in rng.choice(32, 6, replace=False)) for _ in close], np.uint64)
+    every = np.unique(np.concatenate((base, close)), axis=0)
+    rows = [(i, *r) for i, r in enumerate(every.view(np.int64).tolist())]
+    nodes = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in ["node", *simhash.columns(rule)]))
+    sizes = simhash.dealt(nodes, rule).groupBy(*simhash.GROUP).count().agg(F.max("count")).first()[0]
+    assert sizes <= 4 * rule.block
+    bits = np.bitwise_count(every[:, None] ^ every[None])
+    want = bits.sum(axis=2, dtype=np.int64) <= rule.budget
+    if words == 4:
+        halves = every.view(np.uint32)
+        want &= (np.bitwise_count(halves[:, None] ^ halves[None]) <= rule.piece_budget).any(axis=2)
+    found = groups(len(every), [(r.u, r.v) for r in simhash.link(nodes, rule).collect()])
+    assert found == groups(len(every), np.argwhere(want))
