@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.llm import sharding
 from quillon.llm.sharding import external_shuffle
 
 
@@ -55,3 +56,15 @@ def test_clashing_columns(odd):
     out = external_shuffle(odd.withColumns({"Shard": F.lit("x"), "bucket": F.lit("b"), "order": F.lit(1)}))
     assert out.columns == [*odd.columns, "bucket", "order", "shard", "slot"]
     assert out.where("bucket = 'b'").count() == odd.count()
+
+
+def test_equal_rows_are_spread_over_buckets(make, monkeypatch):
+    """A third of the rows are equal in all columns; no bucket holds them all."""
+    seen, orders = [], sharding._orders
+    monkeypatch.setattr(sharding, "_orders", lambda counts, seed: orders(seen.append(counts) or counts, seed))
+    df = make([(i if i % 3 else 0, f"text {i if i % 3 else 0}", None, None, 0) for i in range(3000)])
+    once = external_shuffle(df, shards=4, bucket_bytes=1 << 13)
+    assert seen[0].agg(F.sum("n"), F.max("n")).first()[0] == 3000
+    assert seen[0].agg(F.max("n")).first()[0] < 400  # of 1,000 equal ones, in 27 buckets
+    again = external_shuffle(df.repartition(7), shards=4, bucket_bytes=1 << 13)
+    assert check(df, once, 4) == check(df, again, 4)
