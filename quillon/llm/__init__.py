@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten operators and the queries that apply them.
+"""Operators of a training-data pipeline and the queries that apply them.
 
 Nothing else in the library imports this subpackage. Its functions travel to the executors
 by value, so that they need no copy of the library.

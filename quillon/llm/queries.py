@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import (
+    audit,
+    centroids,
     decontamination,
     divergence,
     fuzzy_lines,
@@ -118,6 +119,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of each document, and whether it exceeds 1024 tokens."""
+    import public_tokenizers
+
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select(
@@ -169,6 +172,17 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the terms of each source are from its language's other sources and from the language."""
+    return audit.audit(read_table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each embedding after ten rounds of k-means in whole numbers."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster(vectors, k=8, dims=64, rounds=10, scale=1024, seed=3).drop("embedding")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))

@@ -161,3 +161,92 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND coalesce(word_distance, 0) <= 0.32 AND coalesce(char_distance, 0) <= 0.22 AS kept
 FROM base LEFT JOIN word_distances USING (r) LEFT JOIN char_distances USING (r)
 """
+
+ORACLE["op12_source_audit"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), held AS (
+    SELECT r, lang, source, term, count(*) AS n
+    FROM (SELECT r, lang, source, unnest(terms) AS term FROM docs) GROUP BY ALL
+), kept AS (
+    SELECT lang, term FROM held GROUP BY lang, term HAVING count(*) >= 30
+), sizes AS (
+    SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang
+), counts AS (
+    SELECT lang, source, term, sum(n)::HUGEINT AS n FROM held JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), totals AS (
+    SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total
+    FROM groups g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL
+), shares AS (
+    SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (t.total + 5 * v) AS p
+    FROM totals t JOIN kept k USING (lang) JOIN sizes USING (lang)
+    LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), of_lang AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q
+    FROM shares JOIN sizes USING (lang) GROUP BY lang, term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+), found AS (
+    SELECT p.lang, p.source, 'pair' AS part, p.item, coalesce(sum(abs(a.p - b.p)), 0)::BIGINT AS value
+    FROM pairs p LEFT JOIN shares a ON a.lang = p.lang AND a.source = p.source
+    LEFT JOIN shares b ON b.lang = p.lang AND b.source = p.item AND b.term = a.term
+    GROUP BY ALL
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares JOIN of_lang USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT * FROM (
+    SELECT lang, source, part, item, value,
+           row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+    FROM found
+) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def _rounds(rounds: int) -> str:
+    """One CTE for the assignments and one for the centroids of each round of k-means."""
+    parts = []
+    for t in range(rounds + 1):
+        parts.append(f"""
+a{t} AS MATERIALIZED (
+    SELECT r, k, d FROM (
+        SELECT r, k, d, row_number() OVER (PARTITION BY r ORDER BY d, k) AS nth
+        FROM (SELECT r, k, sum((a.x - c.x) * (a.x - c.x)) AS d FROM parts a JOIN c{t} c USING (i) GROUP BY r, k)
+    ) WHERE nth = 1
+)""")
+        if t < rounds:
+            parts.append(f"""
+c{t + 1} AS MATERIALIZED (
+    SELECT c.k, c.i, coalesce(m.x, c.x) AS x FROM c{t} c LEFT JOIN (
+        SELECT k, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+        FROM parts JOIN a{t} USING (r) GROUP BY k, i
+    ) m ON m.k = c.k AND m.i = c.i
+)""")
+    return ",".join(parts)
+
+
+ORACLE["op13_centroids"] = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id,
+           list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), parts AS MATERIALIZED (
+    SELECT r, i, v[i] AS x FROM (SELECT r, v, unnest(range(1, 65)) AS i FROM kept)
+), firsts AS (
+    SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS k FROM kept
+    ORDER BY sha256('3:' || vec_id), v LIMIT 8
+), c0 AS MATERIALIZED (
+    SELECT k, i, x FROM firsts JOIN parts USING (r)
+), {_rounds(10)}, named AS (
+    SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c10 GROUP BY k
+)
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a10 JOIN kept USING (r) JOIN named USING (k)
+"""

@@ -18,7 +18,11 @@ COLUMNS = {
     8: "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     9: "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     10: "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    12: "lang string, source string, part string, item string, value bigint, rank int",
+    13: "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
 }
+#: The table, and its key, of which a result has a row for each row; documents where none is given.
+ROW_PER = {10: ("pages", "page_id"), 12: None, 13: ("embeddings", "vec_id")}
 QUERIES = queries.queries()
 
 
@@ -33,13 +37,14 @@ def test_columns_and_rows(spark, name):
     given = ", ".join(f"{c} {t}" for c, t in df.dtypes)
     assert given.startswith(COLUMNS[int(name[2:].split("_")[0])])
     rows = [tuple(r) for r in df.collect()]
-    key = "page_id" if name.startswith("op10_") else "doc_id"
-    table = "pages" if key == "page_id" else "documents"
+    number = int(name[2:].split("_")[0])
+    of = ROW_PER.get(number, ("documents", "doc_id"))
     with duckdb.connect() as db:
-        for t in ("documents", "pages", "labels", "benchmark"):
+        for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-        ids = [r[0] for r in db.execute(f"SELECT {key} FROM {table} ORDER BY 1").fetchall()]
-        assert sorted(r[df.columns.index(key)] for r in rows) == ids
+        if of:
+            ids = [r[0] for r in db.execute(f"SELECT {of[1]} FROM {of[0]} ORDER BY 1").fetchall()]
+            assert sorted(r[df.columns.index(of[1])] for r in rows) == ids
         if name in sql.ORACLE:
             want = db.execute(sql.ORACLE[name])
             assert [c[0] for c in want.description] == df.columns
