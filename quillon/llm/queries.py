@@ -15,6 +15,7 @@ from quillon.llm import (
     fuzzy_lines,
     language,
     mixing,
+    ngram_join,
     sharding,
     simhash,
     tokens,
@@ -172,6 +173,11 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shingles of each document and the component that links of similarity 0.8 lead to."""
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the terms of each source are from its language's other sources and from the language."""
     return audit.audit(read_table(spark, sf_dir, "documents"), min_docs=30, top=50)

@@ -162,6 +162,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base LEFT JOIN word_distances USING (r) LEFT JOIN char_distances USING (r)
 """
 
+ORACLE["op11_jaccard_components"] = r"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           coalesce(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+'), []) AS words
+    FROM documents
+), sets AS (
+    SELECT DISTINCT r, array_to_string(words[i:i + 4], ' ') AS shingle
+    FROM (SELECT *, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM docs WHERE len(words) > 0)
+), sizes AS (
+    SELECT r, count(*) AS n FROM sets GROUP BY r
+), links AS (
+    SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS m FROM sets x JOIN sets y USING (shingle) GROUP BY ALL)
+    JOIN sizes s ON s.r = a JOIN sizes t ON t.r = b WHERE 100 * m >= 80 * (s.n + t.n - m)
+), reach AS (
+    SELECT r, r AS s FROM sizes UNION SELECT reach.r, b FROM reach JOIN links ON a = s
+), least AS (
+    SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN docs ON docs.r = s GROUP BY reach.r
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id
+FROM docs LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)
+"""
+
 ORACLE["op12_source_audit"] = r"""
 WITH docs AS (
     SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,

@@ -18,6 +18,7 @@ COLUMNS = {
     8: "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     9: "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     10: "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    11: "doc_id bigint, n_shingles bigint, component_id bigint",
     12: "lang string, source string, part string, item string, value bigint, rank int",
     13: "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
 }
