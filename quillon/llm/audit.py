@@ -19,8 +19,11 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Shares are counted in billionths, with so much added to each count.
 ONE, ADDED_COUNT = 1_000_000_000, 5
 
-#: Chunks whose counts a task holds before it passes them on, and bytes of text taken at once.
-HELD, SLICE_BYTES = 1 << 18, 1 << 20
+#: What no term holds or begins or ends with: the rest of ASCII.
+EDGES = bytes(b for b in range(128) if not chr(b).isalpha())
+
+#: Chunks whose counts, or whose absence from a filter, a task holds; bytes of text taken at once.
+HELD, SLICE_BYTES = 1 << 19, 1 << 20
 #: Bits of the filter of unsettled chunks: 16 MB, however many there are.
 FILTER_BITS = 27
 #: Kept terms of a language in a block, about.
@@ -42,11 +45,12 @@ def audit(docs: DataFrame, *, min_docs: int = 30, top: int = 50) -> DataFrame:
     blank texts hold no term, and a long text or chunk is whole. An empty table gives an empty
     result; other columns are ignored, whatever their names.
 
-    Whitespace chunks (A-Z lowered) are counted document by document and summed in each task,
-    so the shuffle gets a row for each chunk that a task saw in a group, not one for each word.
-    Each distinct chunk is parted into terms once, and its terms are joined back to the sums.
+    Whitespace chunks (A-Z lowered, without the characters at both ends that no term holds) are
+    counted document by document and summed in each task, so the shuffle gets a row for each
+    chunk that a task saw in a group, not one for each word. All that is known of a chunk then
+    meets in one row, which is parted into terms once; its terms go back to its counts there.
     Occurrences add up. Documents of a lang do not where one holds a term in several chunks
-    ("word," and "word"): they lie between the largest number of a chunk with the term and the
+    ("it" and "it's"): they lie between the largest number of a chunk with the term and the
     sum of all. Where `min_docs` lies between the two the documents that hold
     such chunks are told by a second reading and counted once each.
     """
@@ -55,23 +59,27 @@ def audit(docs: DataFrame, *, min_docs: int = 30, top: int = 50) -> DataFrame:
         F.coalesce(col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
         *[F.coalesce(col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")],
     )
-    counted = rows.mapInArrow(_chunk_counts, COUNTS).groupBy("lang", "source", "chunk")
-    counted = written(counted.agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")))
-    words = counted.where("chunk != ''")  # the empty chunk tells of groups without words
-    terms = written(
-        words.select("chunk")
-        .distinct()
-        .select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
-        .groupBy("chunk", "term")
-        .agg(F.count("*").alias("times"))
-    )
-    counts = words.join(terms, "chunk").groupBy("lang", "source", "term")
-    counts = written(counts.agg(F.sum(F.col("n") * F.col("times")).cast("decimal(38,0)").alias("n")))
-    kept = written(_kept(rows, words, terms, min_docs))
-    groups = counted.select("lang", "source").distinct()
+    chunks = written(_chunks(rows.mapInArrow(_chunk_counts, COUNTS)))
+    kept = written(_kept(rows, chunks.where("chunk != ''"), min_docs))
+    each = chunks.select("terms", F.explode("langs").alias("of")).select("terms", "of.lang", F.explode("of.sources").alias("s"))
+    groups = each.select("lang", "s.source").distinct()  # the empty chunk tells of those without words
+    found = each.select("lang", "s.source", "s.n", F.explode("terms").alias("term")).repartition("lang", "term")
+    counts = found.groupBy("lang", "source", "term").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
     return _ranked(written(groups), counts.join(kept, ["lang", "term"]), kept, top)
 
 
+def _chunks(counted: DataFrame) -> DataFrame:
+    """(chunk, terms, langs): a row a chunk, with its terms, repeats included, and for each lang
+    its documents and the occurrences by source. One shuffle, on the chunk."""
+    met = counted.repartition("chunk").groupBy("chunk", "lang", "source")
+    met = met.agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+    langs = met.groupBy("chunk", "lang").agg(
+        F.sum("n_docs").alias("n_docs"), F.collect_list(F.struct("source", "n")).alias("sources")
+    )
+    whole = langs.groupBy("chunk").agg(F.collect_list(F.struct("lang", "n_docs", "sources")).alias("langs"))
+    return whole.select("chunk", F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)).alias("terms"), "langs")
+
+
 COUNTS = "lang string, source string, chunk string, n_docs bigint, n bigint"
 
 
@@ -100,19 +108,18 @@ def _chunk_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for rows in _texts(batch, ["lang", "source", "text"]):
             for lang, source, text in rows:
                 docs, times = held.setdefault((lang, source), (Counter(), Counter()))
-                chunks = text.lower().split()
+                chunks = [c.strip(EDGES) for c in text.lower().split()]
                 times.update(chunks)
-                docs.update(set(chunks))
-                docs[b""] += 1
+                docs.update({*chunks, b""})
             if sum(len(d) for d, _ in held.values()) > HELD:
                 yield from full()
     yield from full()
 
 
-def _kept(rows: DataFrame, words: DataFrame, terms: DataFrame, min_docs: int) -> DataFrame:
+def _kept(rows: DataFrame, chunks: DataFrame, min_docs: int) -> DataFrame:
     """(lang, term) of the terms in at least `min_docs` documents of the lang."""
-    of_lang = words.groupBy("lang", "chunk").agg(F.sum("n_docs").alias("n_docs"))
-    met = of_lang.join(terms.select("chunk", "term"), "chunk")
+    met = chunks.select("chunk", F.explode(F.array_distinct("terms")).alias("term"), "langs")
+    met = met.select("chunk", "term", F.explode("langs").alias("of")).select("chunk", "term", "of.lang", "of.n_docs")
     bounds = met.groupBy("lang", "term").agg(F.max("n_docs").alias("least"), F.sum("n_docs").alias("most"))
     bounds = written(bounds.where(F.col("most") >= min_docs))
     open_ = bounds.where(F.col("least") < min_docs).select("lang", "term")
@@ -150,13 +157,17 @@ def _holders(rows: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def _holder(shared) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, crc, shift = shared.value, zlib.crc32, 32 - FILTER_BITS
+        table, crc, shift, absent = shared.value, zlib.crc32, 32 - FILTER_BITS, set()
         for batch in batches:
             for rows in _texts(batch, ["row_id", "lang", "text"]):
                 ids, langs, found = [], [], []
                 for row_id, lang, text in rows:
-                    places = [(crc(c) >> shift, c) for c in set(text.lower().split())]
+                    chunks = {c.strip(EDGES) for c in text.lower().split()} - absent
+                    places = [(crc(c) >> shift, c) for c in chunks]
                     some = [c for p, c in places if table[p >> 3] >> (p & 7) & 1]
+                    if len(absent) > HELD:
+                        absent.clear()
+                    absent.update(chunks.difference(some))
                     found += some
                     ids += [row_id] * len(some)
                     langs += [lang] * len(some)
