@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
@@ -25,8 +25,9 @@ LEVELS = 8
 
 #: Bytes of text taken at once, signatures of a block, and those of a bucket, about.
 SLICE_BYTES, BLOCK, BUCKET = 1 << 20, 1 << 21, 1 << 20
-#: A signature more frequent in a block is led there by one of its sets.
-LED = 64
+#: A signature more frequent in a block is led there by one of its sets. One in so many of the
+#: signatures of three sets or more has all of them compared with a leader at first.
+LED, LED_PART = 64, 8
 #: Documents sampled for common shingles, in how many of them a shingle is common, and most such.
 SAMPLE, COMMON, MOST_COMMON = 4096, 8, 1 << 16
 #: Members of a group that are compared with each other at once, counters of a sketch, and bits
@@ -151,18 +152,14 @@ def _signed(
     part = first[owner] + ((low * parts[owner].astype(np.uint64)) >> half).astype(np.int64)
     cell = part * SECOND + (((u >> half) * np.uint64(SECOND)) >> half).astype(np.int64)
     n_cells = int(parts.sum()) * SECOND
-    value = mixed(u + np.uint64(1))
-    sums = []
-    for x in (np.ones(len(u)), (value >> half).astype(np.float64), (value & np.uint64(0xFFFFFFFF)).astype(np.float64)):
-        by_cell = np.bincount(cell, x, n_cells).astype(np.int64).reshape(-1, SECOND)
-        sums.append(by_cell.sum(axis=1, keepdims=True) - by_cell)  # without one second-level part
-    count, high, rest = sums
+    value = ((u * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(22)).astype(np.float64)  # exact in sums of 2**11
+    count, total = (np.bincount(cell, x, n_cells).astype(np.int64).reshape(-1, SECOND) for x in (None, value))
+    count, total = (x.sum(axis=1, keepdims=True) - x for x in (count, total))  # without one second-level part
     of_part = np.repeat(np.arange(len(sets)), parts)
     empty = count == 0
     thin = np.bincount(of_part, empty.any(axis=1), len(sets)) > slack
     at = (np.arange(len(of_part)) - first[of_part])[:, None] * SECOND + np.arange(SECOND)
-    mark = mixed(high.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rest.astype(np.uint64))
-    sig = mixed(mark + mixed(salt[of_part][:, None] + at.astype(np.uint64)))
+    sig = mixed(total.astype(np.uint64) ^ mixed(salt[of_part][:, None] + at.astype(np.uint64)))
     signed = ~empty if level < LEVELS - 1 else np.ones(empty.shape, bool)
     return sig[signed], np.broadcast_to(of_part[:, None], sig.shape)[signed], thin
 
@@ -262,14 +259,18 @@ MEMBERS = "signature bigint, member bigint, leader bigint, node binary"
 
 
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From packed rows in order of buckets: the members of each signature that several sets share,
-    with a leader, and the node of each number."""
+    """From packed rows in order of buckets: the members of each signature that three sets or more
+    share; pairs (member, leader), which are those of signatures that two share, and some of the
+    others'; and the node of each number."""
 
-    def out(signature: np.ndarray, member: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(member), pa.binary())
-        return _batch(
-            signature=pa.array(signature.view(np.int64)), member=pa.array(member), leader=pa.array(leader), node=none
-        )
+    def out(signature, member, leader) -> pa.RecordBatch:
+        columns = dict(signature=signature, member=member, leader=leader)
+        arrays = {k: pa.nulls(len(member), pa.int64()) if x is None else pa.array(x) for k, x in columns.items()}
+        return _batch(**arrays, node=pa.nulls(len(member), pa.binary()))
+
+    def pairs(member: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
+        both = np.unique(np.stack((member, leader), axis=1)[member != leader], axis=0)
+        return out(None, both[:, 0], both[:, 1])
 
     def shared(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         entries = [np.frombuffer(e, np.uint64) for _, e in held]
@@ -282,11 +283,16 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = key[1:] == key[:-1]
         some = np.concatenate((same, [False])) | np.concatenate(([False], same))
         key, member = key[some], member[some]
-        if len(key):
-            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            length = np.diff(np.append(start, len(key)))
-            turn = np.lexsort((mixed(member.astype(np.uint64)), np.repeat(np.arange(len(start)), length)))
-            yield out(key | np.uint64(bucket << 40), member, np.repeat(member[turn[start]], length))
+        if not len(key):
+            return
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.append(start, len(key)))
+        turn = np.lexsort((mixed(member.astype(np.uint64)), np.repeat(np.arange(len(start)), length)))
+        leader = np.repeat(member[turn[start]], length)
+        two = np.repeat(length == 2, length)
+        compared = two | (key % np.uint64(LED_PART) == 0)
+        yield pairs(member[compared], leader[compared])
+        yield out((key[~two] | np.uint64(bucket << 40)).view(np.int64), member[~two], None)
 
     bucket, held = None, []
     for batch in batches:
@@ -307,7 +313,10 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entry = np.frombuffer(row["entries"], np.uint64)
                 member = (entry & np.uint64((1 << 24) - 1)).astype(np.int64) + row["base"]
                 leader = np.frombuffer(row["leaders"], np.uint32).astype(np.int64) + row["base"]
-                yield out((entry >> np.uint64(24)) | np.uint64(bucket << 40), member, leader)
+                key = (entry >> np.uint64(24)) | np.uint64(bucket << 40)
+                compared = key % np.uint64(LED_PART) == 0
+                yield pairs(member[compared], leader[compared])
+                yield out(key.view(np.int64), member, None)
     if held:
         yield from shared(bucket, held)
 
@@ -330,10 +339,11 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT)
     edges (u, v) of nodes that connect all that links.
 
     A node is a set of shingles, so copies are one. Pairs are found by PartEnum signatures and
-    each edge is a pair whose sets were compared. A signature's members are first compared with
-    one of them; then, in groups with three members or more, those of different components with
-    each other, unless their sketches show that they differ too much. So a group of near copies
-    costs its size, and no pair of nodes that link stays unconnected.
+    each edge is a pair whose sets were compared. Members of a signature are first compared with
+    one of them; where that leaves several components in a group of three or more, once with
+    another of them; and then those of different components with each other, unless their
+    sketches or sizes show that they differ too much. So a group of near copies costs its size,
+    and no two nodes that link stay in different components.
     """
     docs = docs.select(col("doc_id").alias("doc_id"), col("text").cast("string").cast("binary").alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
@@ -346,19 +356,35 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT)
     spread = F.coalesce(F.col("bucket").cast("bigint"), F.xxhash64("base"))
     packed = docs.mapInArrow(signer, PACKED).repartition(parts, spread).sortWithinPartitions("bucket")
     found = written(packed.mapInArrow(_members, MEMBERS))
-    names = written(found.where("node is not null").select(F.col("member").alias("number"), "node"))
-    members = _named(_named(found.where("node is null").drop("node"), "member", names), "leader", names)
-    members = written(members.distinct())
-    sets = written(_kept_sets(docs, members.select("member").distinct(), shingle))
-
-    first = _different(members.select(F.col("member").alias("u"), F.col("leader").alias("v")))
-    edges = written(verified(first, sets, percent))
-    rest = written(_apart(members, first, edges, sets, percent))
-    return prints, edges.unionByName(verified(rest, sets, percent))
-
 
-def _named(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
-    return rows.join(names, F.col(column) == F.col("number")).drop("number", column).withColumnRenamed("node", column)
+    names = found.where("node is not null").select("node", F.col("member").alias("number"))
+    names = written(names.withColumn("one", F.min("number").over(Window.partitionBy("node"))))
+    members = found.where("signature is not null").select("signature", F.col("member").alias("number"))
+    pairs = _renamed(found.where("leader is not null").select("member", "leader").distinct(), names)
+    some = members.select("number").distinct().join(names, "number").select("one", "node")
+    some = some.unionByName(pairs.join(names, F.col("u") == F.col("one")).select("one", "node"))
+    some = some.unionByName(pairs.join(names, F.col("v") == F.col("one")).select("one", "node"))
+    some = written(some.distinct())
+    sets = written(_kept_sets(docs, some, shingle).join(some, "node").withColumnsRenamed({"node": "name", "one": "node"}))
+
+    done, edges = pairs, written(verified(pairs, sets, percent))
+    members = written(members.join(names.select("number", "one"), "number").select("signature", "one"))
+    for last in (False, True):
+        groups = _open_groups(members, edges)
+        rest = (_apart if last else _led)(groups, sets, percent).join(done, ["u", "v"], "left_anti")
+        rest = written(rest)
+        edges = written(edges.unionByName(verified(rest, sets, percent)))
+        done = done.unionByName(rest)
+    node = sets.select("node", "name")
+    named = edges.join(node, F.col("u") == F.col("node")).select(F.col("name").alias("x"), "v")
+    named = named.join(node, F.col("v") == F.col("node")).select(F.col("x").alias("u"), F.col("name").alias("v"))
+    return prints, written(named)
+
+
+def _renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs (member, leader) of numbers as pairs (u, v) of one number a node."""
+    one, two = (names.select(F.col("number").alias(n), F.col("one").alias(c)) for n, c in (("member", "u"), ("leader", "v")))
+    return _different(pairs.join(one, "member").join(two, "leader").select("u", "v"))
 
 
 def _different(pairs: DataFrame) -> DataFrame:
@@ -367,15 +393,15 @@ def _different(pairs: DataFrame) -> DataFrame:
     return written(pairs.distinct())
 
 
-def _kept_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(node, hashes, sketch) of the members and of few others, read from the texts again.
+def _kept_sets(docs: DataFrame, some: DataFrame, size: int) -> DataFrame:
+    """(node, hashes, sketch) of `some` (node) and of few others, read from the texts again.
 
-    A filter of a fixed size tells the members by their first bits; one that is full lets more
+    A filter of a fixed size tells the nodes by their first bits; one that is full lets more
     through, not fewer.
     """
-    place = F.shiftright(F.conv(F.hex(F.substring("member", 1, 4)), 16, 10).cast("bigint"), 32 - FILTER_BITS)
+    place = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("bigint"), 32 - FILTER_BITS)
     byte, bit = F.floor(place / 8), F.pmod(place, F.lit(8)).cast("int")
-    marks = members.groupBy(F.floor(byte / 64).cast("int").alias("line"), F.pmod(byte, F.lit(64)).cast("int").alias("at"))
+    marks = some.groupBy(F.floor(byte / 64).cast("int").alias("line"), F.pmod(byte, F.lit(64)).cast("int").alias("at"))
     marks = marks.agg(F.bit_or(F.call_function("shiftleft", F.lit(1), bit)).alias("bits"))
     bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for part in marks.groupBy("line").agg(F.collect_list(F.struct("at", "bits")).alias("marks")).toLocalIterator():
@@ -417,31 +443,42 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     two = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def _apart(members: DataFrame, done: DataFrame, edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that share a signature, are in different components of `edges`, are not among
-    `done`, and whose sketches and sizes do not keep them from linking."""
-    roots = written(components(edges))
-    met = members.select("signature", "member").join(roots, F.col("member") == F.col("node"), "left")
-    met = met.select("signature", "member", F.coalesce("root", "member").alias("root"))
+def _open_groups(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(signature, node, root, parts, a) of signatures whose members are in several components of
+    `edges`, `a` being one of them."""
+    roots = components(edges).withColumnRenamed("node", "of")
+    met = members.join(roots, F.col("one") == F.col("of"), "left")
+    met = written(met.select("signature", F.col("one").alias("node"), F.coalesce("root", "one").alias("root")))
     groups = met.groupBy("signature").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"))
-    groups = groups.where("n > 2 and a != b").select("signature", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    small = sets.select(F.col("node").alias("member"), F.length("hashes").alias("bytes"), "sketch")
-    own = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")
-    rows = met.join(groups, "signature").join(small, "member").withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    groups = groups.where("a != b").select("signature", "a", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    return written(met.join(groups, "signature"))
+
+
+def _led(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the members that are not in component `a` with one that is."""
+    within = groups.where("root = a").groupBy("signature")
+    leaders = within.agg(F.min_by("node", F.xxhash64("node", "signature")).alias("v"))
+    met = groups.where("root != a").join(leaders, "signature")
+    return _different(met.select(F.col("node").alias("u"), "v"))
+
+
+def _apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members in different components whose sketches and sizes let them link."""
+    small = sets.select("node", F.floor(F.length("hashes") / 8).alias("size"), "sketch")
+    rows = groups.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(small, "node")
     rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "signature", "x", "y").sortWithinPartitions("signature", "x", "y")
-    rows = rows.select("signature", "x", "y", "own", "member", "root", F.floor(F.col("bytes") / 8).alias("size"), "sketch")
-    pairs = _different(rows.mapInArrow(_comparer(percent), "u binary, v binary"))
-    return pairs.join(done, ["u", "v"], "left_anti")
+    rows = rows.select("signature", "x", "y", "own", "node", "root", "size", "sketch")
+    return _different(rows.mapInArrow(_comparer(percent), "u bigint, v bigint"))
 
 
 def _comparer(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def near(group: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+    def near(group: list[dict]) -> Iterator[tuple[int, int]]:
         group.sort(key=lambda r: r["own"])
         own = np.array([r["own"] for r in group])
         size = np.array([r["size"] for r in group], np.int64)
@@ -454,7 +491,7 @@ def _comparer(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
             if len(j):
                 j = j[np.abs(sketches[j] - sketches[i]).sum(axis=1) <= most_apart(size[j] + size[i], percent)]
             for k in j.tolist():
-                yield group[i]["member"], group[k]["member"]
+                yield group[i]["node"], group[k]["node"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, pairs = None, [], set()
@@ -473,9 +510,9 @@ def _comparer(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _pairs(pairs: Iterable[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def _pairs(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
     pairs = list(pairs)
-    return _batch(u=pa.array([p[0] for p in pairs], pa.binary()), v=pa.array([p[1] for p in pairs], pa.binary()))
+    return _batch(u=pa.array([p[0] for p in pairs], pa.int64()), v=pa.array([p[1] for p in pairs], pa.int64()))
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
