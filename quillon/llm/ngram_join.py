@@ -171,7 +171,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8)
 
 
-def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def text_sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     hasher = WordHasher()
     for batch in batches:
         text = batch.column("text")
@@ -186,7 +186,7 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
 
 def _printer(size: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, size):
+        for batch, sets in text_sets(batches, size):
             yield _batch(
                 doc_id=batch.column("doc_id"),
                 n_shingles=pa.array([len(s) for s in sets], pa.int64()),
@@ -198,7 +198,7 @@ def _printer(size: int) -> Callable:
 
 def _exploder(size: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, size):
+        for _, sets in text_sets(batches, size):
             yield _batch(shingle=pa.array(np.concatenate(sets).view(np.int64)))
 
     return run
@@ -236,7 +236,7 @@ def _signer(size: int, table: Bands, common: np.ndarray, percent: int, buckets:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, nodes, known, held, n = TaskContext.get().partitionId() << 40, [], set(), [], 0
-        for _, sets in _sets(batches, size):
+        for _, sets in text_sets(batches, size):
             fresh = []
             for s in sets:
                 if len(s) and (node := node_of(s)) not in known:  # copies are one
@@ -365,7 +365,7 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT)
     some = some.unionByName(pairs.join(names, F.col("u") == F.col("one")).select("one", "node"))
     some = some.unionByName(pairs.join(names, F.col("v") == F.col("one")).select("one", "node"))
     some = written(some.distinct())
-    sets = written(_kept_sets(docs, some, shingle).join(some, "node").withColumnsRenamed({"node": "name", "one": "node"}))
+    sets = written(kept_sets(docs, some, shingle).join(some, "node").withColumnsRenamed({"node": "name", "one": "node"}))
 
     done, edges = pairs, written(verified(pairs, sets, percent))
     members = written(members.join(names.select("number", "one"), "number").select("signature", "one"))
@@ -384,16 +384,16 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, percent: int = PERCENT)
 def _renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs (member, leader) of numbers as pairs (u, v) of one number a node."""
     one, two = (names.select(F.col("number").alias(n), F.col("one").alias(c)) for n, c in (("member", "u"), ("leader", "v")))
-    return _different(pairs.join(one, "member").join(two, "leader").select("u", "v"))
+    return different(pairs.join(one, "member").join(two, "leader").select("u", "v"))
 
 
-def _different(pairs: DataFrame) -> DataFrame:
+def different(pairs: DataFrame) -> DataFrame:
     """Distinct pairs with the smaller node first."""
     pairs = pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return written(pairs.distinct())
 
 
-def _kept_sets(docs: DataFrame, some: DataFrame, size: int) -> DataFrame:
+def kept_sets(docs: DataFrame, some: DataFrame, size: int) -> DataFrame:
     """(node, hashes, sketch) of `some` (node) and of few others, read from the texts again.
 
     A filter of a fixed size tells the nodes by their first bits; one that is full lets more
@@ -411,7 +411,7 @@ def _kept_sets(docs: DataFrame, some: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for _, sets in _sets(batches, size):
+        for _, sets in text_sets(batches, size):
             some = {}
             for s in sets:
                 node = node_of(s)
@@ -462,7 +462,7 @@ def _led(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     within = groups.where("root = a").groupBy("signature")
     leaders = within.agg(F.min_by("node", F.xxhash64("node", "signature")).alias("v"))
     met = groups.where("root != a").join(leaders, "signature")
-    return _different(met.select(F.col("node").alias("u"), "v"))
+    return different(met.select(F.col("node").alias("u"), "v"))
 
 
 def _apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -474,7 +474,7 @@ def _apart(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "signature", "x", "y").sortWithinPartitions("signature", "x", "y")
     rows = rows.select("signature", "x", "y", "own", "node", "root", "size", "sketch")
-    return _different(rows.mapInArrow(_comparer(percent), "u bigint, v bigint"))
+    return different(rows.mapInArrow(_comparer(percent), "u bigint, v bigint"))
 
 
 def _comparer(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

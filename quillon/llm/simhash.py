@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from quillon.llm import ngram_join
 from quillon.llm.components import components
 from quillon.llm.shared import bit_filter, col, may_hold, without, written
 from quillon.llm.words import mixed, slices
@@ -24,8 +25,9 @@ SLICE_BYTES, LANE = 2 << 20, 32768
 #: once.
 BLOCK, LEAF, CHUNK = 32768, 32, 1 << 14
 
-#: What tells the groups apart in which fingerprints are compared: a piece, and two parts of blocks.
-GROUP = ("piece", "x", "x_part", "y", "y_part")
+#: What tells the groups apart in which fingerprints are compared: a piece, blocks of its bits and
+#: what they hold, and two parts of the rows of that.
+GROUP = ("piece", "cut", "key", "x_part", "y_part")
 
 
 class Links64(NamedTuple):
@@ -45,15 +47,15 @@ class Links256(NamedTuple):
     """Texts link if their 256-bit fingerprints differ in at most `budget` bits, and those of
     one of eight 32-bit pieces in at most `piece_budget`.
 
-    Two sets of shingles with Jaccard similarity 0.8 differ in 39 of 256 bits on average,
-    unrelated ones in 128. At 44 bits in all a piece differs in 5.5 on average: 97% of such
-    pairs have a piece within 4, and 99.7% of those at 36 bits.
+    Two sets of shingles with Jaccard similarity 0.8 differ in 39 of 256 bits on average (with a
+    standard deviation of 6), and 99% of such pairs have a piece within 4; unrelated ones differ
+    in 128. The budget is wide, as `one_of_each` compares what links by its shingles.
     """
 
-    budget: int = 44
+    budget: int = 56
     words: int = 4
     piece_bits: int = 32
-    block: int = 1 << 19
+    block: int = BLOCK
     piece_budget: int = 4
 
 
@@ -79,8 +81,8 @@ def fingerprints(
     return docs.mapInArrow(_fingerprinter(shingle, seed, names), schema)
 
 
-def _hashes(text: str | None, shingle: int, seed: int) -> list[int]:
-    words = (text or "").encode().lower().split()
+def _hashes(text: bytes | None, shingle: int, seed: int) -> list[int]:
+    words = (text or b"").lower().split()
     if not words:
         return []
     data = b" ".join(words)
@@ -118,7 +120,7 @@ def _fingerprinter(
             sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_pylist()
             prints = [[np.empty(0, np.uint64)] for _ in names]
             for a, b in slices(sizes, SLICE_BYTES):
-                parts = [np.array(_hashes(t, shingle, seed), np.uint64) for t in text[a:b].to_pylist()]
+                parts = [np.array(_hashes(t, shingle, seed), np.uint64) for t in text[a:b].cast(pa.binary()).to_pylist()]
                 counts = np.array([len(p) for p in parts], np.int64)
                 hashes = np.concatenate(parts)
                 for i, out in enumerate(prints):
@@ -173,12 +175,18 @@ class Links:
 
     `parent` is a view of the roots that is renewed now and then, at a cost that the pairs
     looked at since then outweigh. What it shows as connected is; it may lag behind.
+
+    With `groups`, members of equal ones are connected from the start; with `every`, all edges
+    between different groups are kept, and connect nothing.
     """
 
-    def __init__(self, n: int) -> None:
+    def __init__(self, n: int, groups: np.ndarray | None = None, every: bool = False) -> None:
         self.edges: list[tuple[int, int]] = []
         self.tree = list(range(n))
-        self.looked = 0
+        if groups is not None and n:
+            _, first, which = np.unique(groups, return_index=True, return_inverse=True)
+            self.tree = first[which].tolist()
+        self.looked, self.every = 0, every
         self._renew()
 
     def _renew(self) -> None:
@@ -191,6 +199,9 @@ class Links:
     def join(self, u: np.ndarray, v: np.ndarray) -> None:
         apart = self.parent[u] != self.parent[v]
         tree, before = self.tree, len(self.edges)
+        if self.every:
+            self.edges += zip(u[apart].tolist(), v[apart].tolist(), strict=True)
+            return
         for i, j in zip(u[apart].tolist(), v[apart].tolist(), strict=True):
             a, b = i, j
             while tree[a] != a:
@@ -218,10 +229,15 @@ class Members(NamedTuple):
 
 
 def neighbours(
-    a: Members, b: Members | None, piece_budget: int, budget: int
+    a: Members,
+    b: Members | None,
+    piece_budget: int,
+    budget: int,
+    groups: np.ndarray | None = None,
+    every: bool = False,
 ) -> list[tuple[int, int]]:
     """Edges that connect what is within both budgets between `a` and `b`, or within `a` if
-    `b` is None; members of b count on from those of a.
+    `b` is None; members of b count on from those of a. `groups` and `every`: see `Links`.
 
     Pairs of trie nodes are traversed together from the roots. The bits in which their
     shared prefixes differ are differences of all their members: beyond the budget of a piece
@@ -233,7 +249,7 @@ def neighbours(
     one, two = Trie(a.pieces), Trie(sides[1].pieces)
     shift = 0 if b is None else len(a.pieces)
     words = a.words if b is None else np.concatenate((a.words, b.words))
-    links = Links(len(words))
+    links = Links(len(words), groups, every)
 
     def near(u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return np.bitwise_count(words[u] ^ words[v]).sum(axis=1, dtype=np.int64) <= budget
@@ -300,13 +316,13 @@ def _compare(
         at = to
 
 
-def link(nodes: DataFrame, rule: Links64 | Links256) -> DataFrame:
+def link(nodes: DataFrame, rule: Links64 | Links256, *, every: bool = False) -> DataFrame:
     """Edges (u, v) that connect those of `nodes` (node bigint, and `columns(rule)`) that
-    link: for each piece of the fingerprints and each two parts of blocks of them, a spanning
-    forest.
+    link: for each group of GROUP a spanning forest.
 
-    Rows are a few numbers each, sent once per pair of parts; a group emits fewer edges than it
-    has members, never all pairs.
+    Rows are a few numbers each; a group emits fewer edges than it has members, never all
+    pairs. If `nodes` has a column `grouped`, nodes with equal ones are taken as connected;
+    with `every`, all links between different ones are given.
     """
     names = columns(rule)
 
@@ -319,84 +335,84 @@ def link(nodes: DataFrame, rule: Links64 | Links256) -> DataFrame:
         if within or all(len(p) for p in parts):
             members = [Members(value[p].view(np.uint64), words[p]) for p in parts]
             other = None if within else members[1]
-            edges = neighbours(members[0], other, rule.piece_budget, rule.budget)
-        every = node[np.concatenate(parts)]
+            groups = None
+            if "grouped" in table.column_names:
+                groups = table.column("grouped").to_numpy()[np.concatenate(parts)]
+            edges = neighbours(members[0], other, rule.piece_budget, rule.budget, groups, every)
+        found = node[np.concatenate(parts)]
         ends = np.array(edges, np.int64).reshape(-1, 2)
-        return pa.table({"u": every[ends[:, 0]], "v": every[ends[:, 1]]})
+        return pa.table({"u": found[ends[:, 0]], "v": found[ends[:, 1]]})
 
     return dealt(nodes, rule).groupBy(*GROUP).applyInArrow(compare, "u bigint, v bigint")
 
 
+def cuts(n: int, rule: Links64 | Links256) -> list[list[tuple[int, int]]]:
+    """Choices of blocks (first bit, bits) of a piece, one of which is equal in any two pieces
+    within the budget.
+
+    A piece cut into budget + t blocks has t equal ones. t is 0 up to `rule.block` rows, one
+    group then, and 1, or 2 where blocks of one would hold more rows: 1, 5 or 15 choices at
+    a budget of 4, at any number of rows.
+    """
+    width, budget = rule.piece_bits, rule.piece_budget
+    equal = 0 if n <= rule.block else 1 if n >> (width // (budget + 1)) <= rule.block else 2
+    if not equal:
+        return [[]]
+    edges = [width * i // (budget + equal) for i in range(budget + equal + 1)]
+    blocks = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [list(c) for c in combinations(blocks, equal)]
+
+
 def dealt(nodes: DataFrame, rule: Links64 | Links256) -> DataFrame:
     """The rows of `nodes`, once for each group (columns GROUP) in which they are compared, with
     `value`, the piece, `second`, 1 for the second part of the group, and `within`, whether the
     group is one part that is compared with itself.
 
-    Blocks are the nodes of the trie at a depth at which they hold about `rule.block` rows, so
-    the pairs of blocks within the budget are the first step of the traversal. Fingerprints
-    need not be spread evenly: close ones share prefixes, or whole pieces. The rows of each
-    block are counted, and a block of more than twice `rule.block` is parted by a hash of the
-    nodes, which are distinct, into parts of `rule.block` on average. Each two parts of two
-    blocks within the budget are a group, so none holds more than about four times
-    `rule.block`, whatever the fingerprints are. The table of blocks in parts, which is
-    broadcast, has a row for each 2 * `rule.block` rows of a piece at most.
+    Rows meet that are equal in one of `cuts`, so a row is sent as often as there are cuts of
+    its pieces, however many rows there are, and a trie join finds the links of each group.
+    Fingerprints need not be spread evenly. The rows of each group are counted, and one of more
+    than twice `rule.block` is parted by a hash of the nodes, which are distinct, into parts of
+    `rule.block` on average, of which each two are a group: none holds more than about four
+    times `rule.block`, whatever the fingerprints are. A row of such a group is sent once for each
+    of its parts.
     """
-    n = nodes.count()
     names = columns(rule)
-    least = 3 if rule.piece_bits == 64 else 0
-    depth = max(least, math.ceil(math.log2(max(1, n) / rule.block)))
-    flips = [m for m in range(1 << depth) if m.bit_count() <= rule.piece_budget]
     pieces = [F.col(c) for c in names]
     if rule.piece_bits == 32:
         pieces = [p for c in pieces for p in (F.shiftright(c, 32), c)]
         pieces = [F.shiftleft(p, 32) for p in pieces]
-    block = F.shiftrightunsigned("value", 64 - depth).cast("int") if depth else F.lit(0)
-    rows = nodes.select("node", *names, F.posexplode(F.array(*pieces)).alias("piece", "value"))
-    rows = rows.select("*", block.alias("block"))
-    large = (
-        rows.groupBy("piece", "block").agg(F.count("*").alias("n")).where(F.col("n") > 2 * rule.block)
-    )
-    large = written(large.withColumn("n", F.ceil(F.col("n") / rule.block).cast("int")))
-
-    def parts(of: str) -> DataFrame:
-        return F.broadcast(large.toDF(f"{of}_piece", f"{of}_block", f"{of}_parts"))
-
-    def met(rows: DataFrame, of: str) -> DataFrame:
-        same = (F.col("piece") == F.col(f"{of}_piece")) & (F.col(of) == F.col(f"{of}_block"))
-        found = rows.join(parts(of), same, "left").drop(f"{of}_piece", f"{of}_block")
-        return found.withColumn(f"{of}_parts", F.coalesce(f"{of}_parts", F.lit(1)))
-
-    rows = met(rows, "block").withColumn("own", F.pmod(F.xxhash64("node"), F.col("block_parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.lit(flips))).withColumn("other", F.col("block").bitwiseXOR(F.col("other")))
-    rows = met(rows, "other").withColumn("their", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-    mine, theirs = F.struct("block", "own"), F.struct(F.col("other").alias("block"), F.col("their").alias("own"))
-    return (
-        rows.withColumns({"one": F.least(mine, theirs), "two": F.greatest(mine, theirs)})
-        .withColumns({"second": (mine > theirs).cast("int"), "within": mine == theirs})
-        .select(
-            "node",
-            *names,
-            "value",
-            "second",
-            "within",
-            "piece",
-            F.col("one.block").alias("x"),
-            F.col("one.own").alias("x_part"),
-            F.col("two.block").alias("y"),
-            F.col("two.own").alias("y_part"),
-        )
-    )
-
-
-def _components(prints: DataFrame, first: Column, rule: Links64 | Links256) -> DataFrame:
-    """(node, first): the smallest `first` among the rows of `prints` reachable over links
-    from those of that node.
-
-    Rows of equal fingerprints, exact copies among them, are one node.
-    """
+    keys = []
+    for choice in cuts(nodes.count(), rule):
+        key = F.lit(0).cast("bigint")
+        for first, width in choice:
+            block = F.shiftrightunsigned(F.shiftleft("value", first), 64 - width)
+            key = F.shiftleft(key, width).bitwiseOR(block)
+        keys.append(key)
+    rows = nodes.select("*", F.posexplode(F.array(*pieces)).alias("piece", "value"))
+    rows = rows.select("*", F.posexplode(F.array(*keys)).alias("cut", "key"))
+    group = ("piece", "cut", "key")
+    large = rows.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > 2 * rule.block)
+    large = written(large.select(*group, F.ceil(F.col("n") / rule.block).cast("int").alias("parts")))
+    rows = rows.join(large, list(group), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("their", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns(
+        {
+            "x_part": F.least("own", "their"),
+            "y_part": F.greatest("own", "their"),
+            "second": (F.col("own") > F.col("their")).cast("int"),
+            "within": F.col("own") == F.col("their"),
+        }
+    ).drop("parts", "own", "their")
+
+
+def _components(prints: DataFrame, first: Column, rule: Links64 | Links256, edges: Callable) -> DataFrame:
+    """(node, first): the smallest `first` among the rows of `prints` reachable over `edges` of
+    the nodes from those of that node."""
     names = columns(rule)
-    nodes = written(prints.groupBy("node", *names).agg(F.min(first).alias("own")))
-    tied = written(components(link(nodes, rule)).withColumnRenamed("node", "tied"))
+    one = prints.groupBy("node").agg(F.min(F.struct(*names)).alias("print"), F.min(first).alias("own"))
+    nodes = written(one.select("node", "print.*", "own"))
+    tied = written(components(edges(nodes.drop("own"))).withColumnRenamed("node", "tied"))
     groups = (
         tied.join(nodes, tied.tied == nodes.node).groupBy("root").agg(F.min("own").alias("least"))
     )
@@ -409,11 +425,59 @@ def _components(prints: DataFrame, first: Column, rule: Links64 | Links256) -> D
 
 
 def _prints(texts: DataFrame, shingle: int, seed: int, rule: Links64 | Links256) -> DataFrame:
-    """Fingerprints without the texts, and the node of each: the fingerprint, or its hash."""
-    prints = fingerprints(texts, shingle=shingle, seed=seed, rule=rule).drop("text")
-    names = columns(rule)
-    node = F.col(names[0]) if rule.words == 1 else F.xxhash64(*names)
-    return written(prints.withColumn("node", node))
+    """Fingerprints without the texts, and the node of each: the fingerprint if it is one word,
+    or else 64 bits of the name of the text's set of shingles, which is `set`."""
+    prints = fingerprints(texts, shingle=shingle, seed=seed, rule=rule)
+    if rule.words == 1:
+        return written(prints.drop("text").withColumn("node", F.col(columns(rule)[0])))
+    kept = [c for c in prints.columns if c != "text"]
+    schema = StructType(
+        [*prints.select(*kept).schema.fields, StructField("set", BinaryType()), StructField("node", LongType())]
+    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in ngram_join.text_sets(batches, shingle):
+            names = [ngram_join.node_of(s) for s in sets]
+            nodes = [int.from_bytes(x[:8], "big", signed=True) for x in names]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept], pa.array(names, pa.binary()), pa.array(nodes, pa.int64())],
+                schema=pa.schema([*[batch.schema.field(c) for c in kept], ("set", pa.binary()), ("node", pa.int64())]),
+            )
+
+    return written(prints.mapInArrow(run, schema))
+
+
+def similar(
+    nodes: DataFrame, texts: DataFrame, names: DataFrame, rule: Links256, shingle: int, percent: int
+) -> DataFrame:
+    """Edges (u, v) of `nodes` that link by `rule` and whose sets of shingles have
+    100 * intersection >= percent * union, so many that they connect all that do.
+
+    Candidates are a spanning forest of each group of the trie join, compared set by set; then
+    another, of what these left apart; then all links between what is still apart. So a large
+    group of copies costs its links, and each edge is a pair that was compared. `names` has the
+    `set` of each node, and `texts` the texts, which are read again for nodes with candidates.
+    """
+    edges, done, sets = None, None, None
+    for every in (False, False, True):
+        now = nodes
+        if edges is not None:
+            roots = written(components(edges)).withColumnRenamed("node", "of")
+            now = nodes.join(roots, F.col("node") == F.col("of"), "left").drop("of")
+            now = now.withColumn("grouped", F.coalesce("root", "node")).drop("root")
+            now = written(now.join(sets.select("node"), "node", "left_semi"))  # others have no candidate
+        found = ngram_join.different(link(now, rule, every=every))
+        if sets is None:
+            ends = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node")))
+            some = written(names.join(ends.distinct(), "node", "left_semi").select("set", "node").distinct())
+            kept = ngram_join.kept_sets(texts, some.select(F.col("set").alias("node")), shingle)
+            kept = kept.withColumnRenamed("node", "set")
+            sets = written(kept.join(some, "set").select("node", "hashes"))
+            edges, done = found.where("u != u"), found.where("u != u")
+        found = written(found.join(done, ["u", "v"], "left_anti"))
+        edges = written(edges.unionByName(ngram_join.verified(found, sets, percent)))
+        done = done.unionByName(found)
+    return edges
 
 
 def near_duplicates(
@@ -428,17 +492,21 @@ def near_duplicates(
     """
     texts = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"))
     prints = _prints(texts, shingle, seed, rule)
-    whole = _components(prints, F.col("doc_id"), rule)
+    whole = _components(prints, F.col("doc_id"), rule, lambda nodes: link(nodes, rule))
     return prints.join(whole, "node").select(
         "doc_id", *columns(rule), F.col("first").alias("component_id")
     )
 
 
 def one_of_each(
-    docs: DataFrame, *, shingle: int = 5, seed: int = 42, rule: Links64 | Links256 = Links256()
+    docs: DataFrame, *, shingle: int = 5, seed: int = 42, rule: Links256 = Links256(), percent: int = 80
 ) -> DataFrame:
     """The rows of `docs` that stay when each group of linked texts keeps one row.
 
+    Texts link if `rule` links their fingerprints and their sets of shingles, words as in
+    `fingerprints`, have 100 * intersection >= `percent` * union (`similar`), and if the sets are
+    equal; texts without words have equal ones. Texts of any length are taken whole.
+
     The row with the smallest doc_id stays, null being larger than any; among rows of that
     id, the one with the smallest hash of all columns; of rows equal in all columns, one. All
     columns are kept as they are.
@@ -457,8 +525,11 @@ def one_of_each(
             F.xxhash64(*names).alias("mark"),
         ).alias("name"),
     )
-    prints = _prints(rows.select("name", F.col("row.text").alias("text")), shingle, seed, rule)
-    whole = _components(prints, F.col("name"), rule)
+    texts = rows.select("name", F.col("row.text").cast("string").cast("binary").alias("text"))
+    prints = _prints(texts, shingle, seed, rule)
+    whole = _components(
+        prints, F.col("name"), rule, lambda nodes: similar(nodes, texts.select("text"), prints, rule, shingle, percent)
+    )
     named = prints.groupBy("node", "name").agg(F.count("*").alias("n")).join(whole, "node")
     first = F.col("name") == F.col("first")
     told = written(named.where(~first | (F.col("n") > 1)).select("name", first.alias("once")))

@@ -165,3 +165,55 @@ def test_near_copies_are_parted(spark, words):
         want &= (np.bitwise_count(halves[:, None] ^ halves[None]) <= rule.piece_budget).any(axis=2)
     found = groups(len(every), [(r.u, r.v) for r in simhash.link(nodes, rule).collect()])
     assert found == groups(len(every), np.argwhere(want))
+
+
+def test_a_row_is_sent_a_fixed_number_of_times(spark):
+    assert [len(simhash.cuts(10**k, Links64())) for k in (4, 5, 6, 7, 8, 9, 11, 13)] == [1, 5, 5, 5, 5, 15, 15, 15]
+    assert {len(simhash.cuts(10**k, Links256())) for k in range(3, 14)} == {1, 5, 15}
+    for n in (10**5, 10**6):
+        nodes = spark.range(n).select(F.col("id").alias("node"), F.xxhash64("id").alias("fingerprint"))
+        assert simhash.dealt(nodes, Links64()).count() == 5 * n
+
+
+@pytest.mark.parametrize("rule", [Links64(), Links256()])
+def test_pieces_within_the_budget_are_equal_in_a_cut(rule):
+    rng = np.random.default_rng(2)
+    for n in (1, 10**6, 10**12):
+        choices = simhash.cuts(n, rule)
+        for _ in range(500):
+            differ = set(rng.choice(rule.piece_bits, rule.piece_budget, replace=False).tolist())
+            assert any(not any(a <= b < a + w for a, w in c for b in differ) for c in choices)
+
+
+def test_near_copies_are_those_of_similarity_a_fifth_apart(make):
+    """Planted pairs: none below 0.8 links, and 95% of those from 0.8 do."""
+    rng, rows, similar = np.random.default_rng(4), [], []
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k, level in enumerate(np.repeat([0.70, 0.75, 0.79, 0.80, 0.85, 0.92], 50)):
+        words = [f"w{x}" for x in rng.integers(0, 20_000, 400)]
+        other, places = list(words), rng.permutation(400).tolist()
+        j = 1.0
+        while j > level + 0.012:
+            other[places.pop()] = f"n{len(places)}"
+            a, b = shingles(words), shingles(other)
+            j = len(a & b) / len(a | b)
+        similar.append(100 * len(a & b) >= 80 * len(a | b))
+        rows += [(2 * k, " ".join(words), "en", "a", 1), (2 * k + 1, " ".join(other), "en", "a", 1)]
+    kept = {r.doc_id for r in simhash.one_of_each(make(rows)).collect()}
+    dropped = np.array([2 * k + 1 not in kept for k in range(len(similar))])
+    similar = np.array(similar)
+    assert kept >= {2 * k for k in range(len(similar))}
+    assert not dropped[~similar].any()
+    assert 100 <= similar.sum() <= 200 and dropped[similar].mean() >= 0.95
+
+
+def test_a_large_group_of_near_copies_keeps_one(make):
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    rows = []
+    for k in range(400):
+        copy = list(words)
+        for place in rng.choice(200, rng.integers(0, 4), replace=False):
+            copy[place] = f"n{k}"
+        rows.append((k, " ".join(copy), "en", "a", 1))
+    assert [r.doc_id for r in simhash.one_of_each(make(rows)).collect()] == [0]
