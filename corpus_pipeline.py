@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by 256-bit SimHash of five-word
-    shingles; a similarity of 0.8 is the middle of what links (`simhash.Links256`)."""
+    """One document of each group of near-duplicates: found by a trie join of 256-bit SimHashes,
+    and linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
     return simhash.one_of_each(docs, shingle=5, seed=SEED)
 
 

@@ -40,6 +40,13 @@ def test_without_the_optional_modules(monkeypatch):
     assert contract.queries().keys() == contract.oracle_sql().keys() == OWN.keys()
 
 
+def test_without_the_subpackage_alone(monkeypatch):
+    for name in [n for n in sys.modules if n.startswith("quillon.llm.")] + ["corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    monkeypatch.setitem(sys.modules, "quillon.llm", None)
+    assert contract.queries().keys() == contract.oracle_sql().keys() == OWN.keys()
+
+
 def test_a_broken_optional_module_is_not_hidden(monkeypatch, tmp_path):
     (tmp_path / "corpus_pipeline.py").write_text("import no_such_module")
     monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
