@@ -322,9 +322,9 @@ def link(nodes: DataFrame, rule: Links64 | Links256, *, every: bool = False) ->
 
     Rows are a few numbers each; a group emits fewer edges than it has members, never all
     pairs. If `nodes` has a column `grouped`, nodes with equal ones are taken as connected;
-    with `every`, all links between different ones are given.
+    with `every`, all links between different ones are given, each by one group.
     """
-    names = columns(rule)
+    names, choices = columns(rule), cuts(nodes.count(), rule)
 
     def compare(table: pa.Table) -> pa.Table:
         second, value, node = (table.column(c).to_numpy() for c in ("second", "value", "node"))
@@ -341,9 +341,29 @@ def link(nodes: DataFrame, rule: Links64 | Links256, *, every: bool = False) ->
             edges = neighbours(members[0], other, rule.piece_budget, rule.budget, groups, every)
         found = node[np.concatenate(parts)]
         ends = np.array(edges, np.int64).reshape(-1, 2)
+        if every and len(ends):
+            ends = np.unique(np.sort(ends, axis=1), axis=0)
+            words = words[np.concatenate(parts)]
+            first = first_group(words[ends[:, 0]] ^ words[ends[:, 1]], choices, rule)
+            ends = ends[first == (table.column("piece")[0].as_py() * len(choices) + table.column("cut")[0].as_py())]
         return pa.table({"u": found[ends[:, 0]], "v": found[ends[:, 1]]})
 
-    return dealt(nodes, rule).groupBy(*GROUP).applyInArrow(compare, "u bigint, v bigint")
+    return dealt(nodes, rule, choices).groupBy(*GROUP).applyInArrow(compare, "u bigint, v bigint")
+
+
+def first_group(differ: np.ndarray, choices: list[list[tuple[int, int]]], rule: Links64 | Links256) -> np.ndarray:
+    """For pairs whose fingerprints differ in the bits `differ`, the first piece within its budget,
+    times the number of cuts, plus the first cut in which that piece is equal."""
+    out = np.full(len(differ), -1)
+    pieces = list(differ.T)
+    if rule.piece_bits == 32:
+        pieces = [(w >> np.uint64(32) if s == 0 else w & np.uint64(0xFFFFFFFF)) << np.uint64(32) for w in differ.T for s in (0, 1)]
+    for p, piece in enumerate(pieces):
+        near = (np.bitwise_count(piece) <= rule.piece_budget) & (out < 0)
+        for c, choice in enumerate(choices):
+            mask = sum(((1 << w) - 1) << (64 - a - w) for a, w in choice)
+            out = np.where(near & (out < 0) & (piece & np.uint64(mask) == 0), p * len(choices) + c, out)
+    return out
 
 
 def cuts(n: int, rule: Links64 | Links256) -> list[list[tuple[int, int]]]:
@@ -363,7 +383,9 @@ def cuts(n: int, rule: Links64 | Links256) -> list[list[tuple[int, int]]]:
     return [list(c) for c in combinations(blocks, equal)]
 
 
-def dealt(nodes: DataFrame, rule: Links64 | Links256) -> DataFrame:
+def dealt(
+    nodes: DataFrame, rule: Links64 | Links256, choices: list[list[tuple[int, int]]] | None = None
+) -> DataFrame:
     """The rows of `nodes`, once for each group (columns GROUP) in which they are compared, with
     `value`, the piece, `second`, 1 for the second part of the group, and `within`, whether the
     group is one part that is compared with itself.
@@ -382,7 +404,7 @@ def dealt(nodes: DataFrame, rule: Links64 | Links256) -> DataFrame:
         pieces = [p for c in pieces for p in (F.shiftright(c, 32), c)]
         pieces = [F.shiftleft(p, 32) for p in pieces]
     keys = []
-    for choice in cuts(nodes.count(), rule):
+    for choice in choices or cuts(nodes.count(), rule):
         key = F.lit(0).cast("bigint")
         for first, width in choice:
             block = F.shiftrightunsigned(F.shiftleft("value", first), 64 - width)
@@ -454,12 +476,12 @@ def similar(
     100 * intersection >= percent * union, so many that they connect all that do.
 
     Candidates are a spanning forest of each group of the trie join, compared set by set; then
-    another, of what these left apart; then all links between what is still apart. So a large
+    twice another, of what these left apart; then all links between what is still apart. So a large
     group of copies costs its links, and each edge is a pair that was compared. `names` has the
     `set` of each node, and `texts` the texts, which are read again for nodes with candidates.
     """
     edges, done, sets = None, None, None
-    for every in (False, False, True):
+    for every in (False, False, False, True):
         now = nodes
         if edges is not None:
             roots = written(components(edges)).withColumnRenamed("node", "of")

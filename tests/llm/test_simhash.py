@@ -217,3 +217,18 @@ def test_a_large_group_of_near_copies_keeps_one(make):
             copy[place] = f"n{k}"
         rows.append((k, " ".join(copy), "en", "a", 1))
     assert [r.doc_id for r in simhash.one_of_each(make(rows)).collect()] == [0]
+
+
+@pytest.mark.parametrize("rule", [Links64(block=64), Links256(block=64)])
+def test_every_link_between_groups_comes_once(spark, rule):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**64, (40, rule.words), dtype=np.uint64)
+    prints = np.repeat(base, 12, axis=0)
+    prints[:, 0] ^= np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in prints], np.uint64)
+    prints = np.unique(prints, axis=0)
+    rows = [(i, i % 3, *r) for i, r in enumerate(prints.view(np.int64).tolist())]
+    nodes = spark.createDataFrame(rows, ", ".join(f"{c} bigint" for c in ["node", "grouped", *simhash.columns(rule)]))
+    bits = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=np.int64)
+    near = [(u, v) for u, v in np.argwhere(bits <= rule.budget).tolist() if u < v and u % 3 != v % 3]
+    found = [tuple(sorted((r.u, r.v))) for r in simhash.link(nodes, rule, every=True).collect()]
+    assert sorted(found) == near
