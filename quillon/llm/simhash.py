@@ -476,12 +476,12 @@ def similar(
     100 * intersection >= percent * union, so many that they connect all that do.
 
     Candidates are a spanning forest of each group of the trie join, compared set by set; then
-    twice another, of what these left apart; then all links between what is still apart. So a large
+    another, of what these left apart; then all links between what is still apart. So a large
     group of copies costs its links, and each edge is a pair that was compared. `names` has the
     `set` of each node, and `texts` the texts, which are read again for nodes with candidates.
     """
     edges, done, sets = None, None, None
-    for every in (False, False, False, True):
+    for every in (False, False, True):
         now = nodes
         if edges is not None:
             roots = written(components(edges)).withColumnRenamed("node", "of")
@@ -536,7 +536,7 @@ def one_of_each(
     Fingerprints are taken once, without the other columns. The rows to drop, and those to
     take once of several equal ones, are told by id and hash: a filter of a fixed greatest
     size lets most other rows pass where they lie, so that the texts that move are about
-    those of the copies, at any size of the table.
+    those of the copies, as long as the filter is not full (`shared.FILTER_BITS`).
     """
     names = [col(c) for c in docs.columns]
     rows = docs.select(
