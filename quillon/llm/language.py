@@ -86,14 +86,22 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return following
 
 
-def fit(docs: DataFrame, *, seed: int = 42) -> Automata:
+def fit(
+    docs: DataFrame,
+    *,
+    seed: int = 42,
+    rows_each: int = ROWS,
+    passage: int = PASSAGE,
+    symbols_each: int = TEXT,
+    symbols_all: int = TEXTS,
+) -> Automata:
     """Automata of the languages of `docs` (doc_id, text, lang).
 
-    They are built from a bounded sample: of each language's rows with a text, the ROWS that
-    come first in a seeded order of their ids, a passage of PASSAGE characters at a seeded
-    place of each, joined and cut to TEXT symbols, or fewer if the languages together would
-    exceed TEXTS. Rows without a language are left out; ids of null share a place. The order
-    is taken on ids alone, by a window of which each map task sends ROWS rows a language at
+    They are built from a bounded sample: of each language's rows with a text, the `rows_each`
+    that come first in a seeded order of their ids, a passage of `passage` characters at a seeded
+    place of each, joined and cut to `symbols_each` symbols, or fewer if the languages together
+    would exceed `symbols_all`. Rows without a language are left out; ids of null share a place. The order
+    is taken on ids alone, by a window of which each map task sends `rows_each` rows a language at
     most; the chosen ids, a bounded number a language, find their texts by a join.
     """
     known = docs.where(col("lang").isNotNull() & col("text").isNotNull())
@@ -104,24 +112,24 @@ def fit(docs: DataFrame, *, seed: int = 42) -> Automata:
     ).withColumn("turn", F.xxhash64(F.lit(seed), "doc_id"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("turn"))
     chosen = written(
-        rows.select("lang", "turn").withColumn("nth", nth).where(F.col("nth") <= ROWS).drop("nth").distinct()
+        rows.select("lang", "turn").withColumn("nth", nth).where(F.col("nth") <= rows_each).drop("nth").distinct()
     )
-    start = F.pmod("turn", F.greatest(F.char_length("text") - PASSAGE, F.lit(0)) + 1) + 1
+    start = F.pmod("turn", F.greatest(F.char_length("text") - passage, F.lit(0)) + 1) + 1
     passages = rows.join(chosen, ["lang", "turn"]).select(
-        "lang", "turn", F.substring("text", start.cast("int"), F.lit(PASSAGE)).alias("passage")
+        "lang", "turn", F.substring("text", start.cast("int"), F.lit(passage)).alias("passage")
     )
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "passage"))
-    sample = passages.withColumn("nth", nth).where(F.col("nth") <= ROWS).orderBy("lang", "nth")
+    sample = passages.withColumn("nth", nth).where(F.col("nth") <= rows_each).orderBy("lang", "nth")
     table, texts = alphabet(), {}
     for r in sample.toLocalIterator():
         texts.setdefault(r.lang, []).append(symbols(r.passage + "\n", table))
-    return _automata({k: np.concatenate(v) for k, v in texts.items()})
+    return _automata({k: np.concatenate(v) for k, v in texts.items()}, symbols_each, symbols_all)
 
 
-def _automata(texts: dict[str, np.ndarray]) -> Automata:
+def _automata(texts: dict[str, np.ndarray], each: int = TEXT, all_: int = TEXTS) -> Automata:
     names, roots, cost, made = [], [], [], 1
     rows, columns, values = [], [], []
-    most = min(TEXT, TEXTS // max(1, len(texts)))
+    most = min(each, all_ // max(1, len(texts)))
     for name, text in sorted(texts.items()):
         text = text[:most]
         if not (text != 0).any():
@@ -180,7 +188,7 @@ def identify(docs: DataFrame, model: Automata) -> DataFrame:
     wins, the first name among equals. The score is the second least cost's share of both,
     0.5 to 1, and 1 for a single language. A text that is null or has no letter, or any text
     if no language was learned, is `und` with score 0. No row moves; the automata, of at most
-    2 * TEXTS states, are broadcast.
+    two for each symbol learned, are broadcast.
     """
     docs = without(docs, ["lang_pred", "score"])
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))

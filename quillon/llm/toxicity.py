@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
@@ -36,6 +37,7 @@ def fit(
     labels: DataFrame,
     *,
     max_rows: int = MAX_ROWS,
+    max_features: int = MAX_FEATURES,
     alpha: float = 1.0,
     beta: float = 1.0,
     l1: float = 6.0,
@@ -46,7 +48,8 @@ def fit(
     """A model of `labels` (doc_id, label 0 or 1) from the texts of `docs` (doc_id, text).
 
     It learns from a bounded sample: the `max_rows` labelled ids that come first in a seeded
-    order, and of their features the first MAX_FEATURES. Ids or labels of null are left out;
+    order, as far as their features, summed over rows, are not yet `max_features`; a warning
+    says how many rows were left out for that. Ids or labels of null are left out;
     an id with several labels counts as 1 if any is. The ids' texts are found by a broadcast
     of at most `max_rows` ids, and their features are taken where they lie. One task then
     goes through the sample `epochs` times, in the seeded order, with a learning rate of its
@@ -70,12 +73,14 @@ def fit(
     )
     rows = features.orderBy(order, "doc_id", F.size("features"), "features").limit(max_rows)
     learned = rows.coalesce(1).mapInArrow(
-        _learner(alpha, beta, l1, l2, epochs), "coordinate int, weight double"
+        _learner(alpha, beta, l1, l2, epochs, max_features), "coordinate int, weight double"
     )
     found = sorted((r.coordinate, r.weight) for r in learned.collect())
     if not found:
         return Model(np.empty(0, np.int64), np.empty(0), -math.inf)
-    (_, bias), found = found[0], found[1:]  # the bias is at -1
+    (_, skipped), (_, bias), found = found[0], found[1], found[2:]  # at -2 and -1
+    if skipped:
+        warnings.warn(f"{skipped:.0f} labelled rows left out beyond {max_features} features", stacklevel=2)
     return Model(np.array([c for c, _ in found], np.int64), np.array([w for _, w in found]), bias)
 
 
@@ -133,12 +138,14 @@ def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _learner(alpha: float, beta: float, l1: float, l2: float, epochs: int) -> Callable:
+def _learner(alpha: float, beta: float, l1: float, l2: float, epochs: int, max_features: int) -> Callable:
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        rows, held, skipped = [], 0, 0
         for batch in batches:
             for label, features in zip(batch.column("label").to_pylist(), batch.column("features"), strict=True):
-                if held < MAX_FEATURES:
+                if held >= max_features:
+                    skipped += 1
+                else:
                     held += len(features)
                     x = np.append(features.values.to_numpy(), np.int32(1 << BITS))  # the bias
                     rows.append((label, x))
@@ -166,8 +173,8 @@ def _learner(alpha: float, beta: float, l1: float, l2: float, epochs: int) -> Ca
         kept = np.flatnonzero(w[:-1])
         yield pa.RecordBatch.from_pydict(
             {
-                "coordinate": pa.array(np.append(kept, -1), pa.int32()),
-                "weight": pa.array(np.append(w[kept], w[-1]), pa.float64()),
+                "coordinate": pa.array(np.append(kept, [-1, -2]), pa.int32()),
+                "weight": pa.array(np.append(w[kept], [w[-1], skipped]), pa.float64()),
             }
         )
 

@@ -103,3 +103,10 @@ def test_folds(make):
     got = make([(i, None, None, None, None) for i in range(50)] + [(None,) * 5])
     for r in got.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("x")).collect():
         assert r.x == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_rows_beyond_the_features_are_told(make):
+    docs = make([(i, prose(i, 30), "en", "a", 1) for i in range(20)])
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS label")
+    with pytest.warns(UserWarning, match="labelled rows left out beyond 100 features"):
+        t.fit(docs, labels, max_features=100)
