@@ -17,17 +17,19 @@ from quillon.llm.shared import col, shared_folder, written
 
 INDEX = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, "
-    "payload_digest string, file string, offset bigint, length bigint"
+    "payload_digest string, record_id string, file string, offset bigint, length bigint"
 )
 READ = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, "
-    "payload_digest string, payload binary"
+    "payload_digest string, record_id string, payload binary"
 )
 
 #: An archive is closed when it is this long.
 ARCHIVE_BYTES = 256 << 20
 #: Ranges at most GAP apart are read at once, up to READ_BYTES.
 GAP, READ_BYTES = 64 << 10, 8 << 20
+#: Bytes of archives, and records, that a task reads on average.
+TASK_BYTES, TASK_RECORDS = 32 << 20, 1 << 14
 
 
 def typed(pages: DataFrame) -> DataFrame:
@@ -73,6 +75,10 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     of attempts that Spark committed are kept: a lost or doubled attempt leaves at most a
     file that no index row names. The index is a Parquet table in the shared folder.
 
+    A revisit names its response by id (WARC-Refers-To): a response's id follows from its
+    page_id and payload, so repeated rows, which are the same record again, share it. No row
+    gives an empty index. A record is held in memory whole, as Spark holds its row.
+
     `folder`: a URI that pyarrow opens on every executor (file, hdfs, s3, gs); by default a
     new one in the shared folder.
     """
@@ -86,11 +92,15 @@ def read_records(index: DataFrame) -> DataFrame:
     """The records that `index` (all of it or selected rows) points to, read and checked.
 
     The rows are ordered by file and offset in ranges of that order, so that a task reads
-    neighbouring records with one request. A revisit has no payload; its length and digest
-    are those of the payload it refers to, as its own headers give them.
+    neighbouring records with one request. The number of ranges follows from the bytes and
+    the records that are to be read. A revisit has no payload; its length and digest are
+    those of the payload it refers to, as its own headers give them. An empty index gives no
+    row, and a row of the index that is repeated is read again.
     """
     ordered = index.select("file", "offset", "length")
-    ordered = ordered.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = ordered.agg(F.sum("length").alias("bytes"), F.count("*").alias("records")).first()
+    n = max(1, -(-(size["bytes"] or 0) // TASK_BYTES), -(-size["records"] // TASK_RECORDS))
+    ordered = ordered.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(_read, READ)
 
 
@@ -126,6 +136,8 @@ def _write(folder: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Record
                 name, offset = f"pages-{uuid.uuid4().hex}.warc.gz", 0
                 out = system.open_output_stream(f"{path}/{name}", compression=None)
             row["payload_digest"] = base64.b32encode(bytes.fromhex(row.pop("sha1"))).decode()
+            response = row["record_type"] == "response" and row["page_id"] is not None
+            row["record_id"] = _response_id(row["page_id"], row) if response else uuid.uuid4().urn
             member = _member(row)
             out.write(member)
             del row["payload"]
@@ -140,6 +152,11 @@ def _write(folder: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Record
     yield _batch(done, schema)
 
 
+def _response_id(page_id: int, row: dict) -> str:
+    """The id of the response of that page whose payload is the row's."""
+    return uuid.uuid5(uuid.NAMESPACE_OID, f"{page_id} {row['payload_bytes']} {row['payload_digest']}").urn
+
+
 def _line(text: str) -> str:
     """A header value: one line."""
     return " ".join(text.split())
@@ -156,7 +173,7 @@ def _member(row: dict) -> bytes:
     head = [
         "WARC/1.1",
         f"WARC-Type: {row['record_type']}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        f"WARC-Record-ID: <{row['record_id']}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{row['payload_digest']}",
@@ -168,6 +185,7 @@ def _member(row: dict) -> bytes:
     if row["record_type"] == "revisit":
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: <{_response_id(row['refers_to'], row)}>",
             f"X-Refers-To-Page-ID: {row['refers_to']}",
         ]
     block = "\r\n".join(head).encode() + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
@@ -202,6 +220,7 @@ def _parsed(member: bytes) -> dict:
         "refers_to": number("x-refers-to-page-id"),
         "payload_bytes": size,
         "payload_digest": digest,
+        "record_id": warc["warc-record-id"].strip("<>"),
         "payload": None if revisit else payload,
     }
 

@@ -61,6 +61,32 @@ def test_index_names_whole_records(make):
         assert at == len(data)
 
 
+def test_revisits_name_their_response(make):
+    """WARC-Refers-To is the record id of the response, which the index holds."""
+    index = warc.write_archives(make(PAGES, SCHEMA).repartition(3)).collect()
+    ids = {r.record_id: (r.page_id, r.payload_digest) for r in index if r.record_type == "response"}
+    revisits = [r for r in index if r.record_type == "revisit"]
+    assert len(revisits) == 4  # three pages repeat page 7, an empty one page 5
+    for r in revisits:
+        data = open(r.file.removeprefix("file://"), "rb").read()[r.offset : r.offset + r.length]
+        headers = warc._headers(zlib.decompress(data, 31).partition(b"\r\n\r\n")[0])
+        assert headers["warc-record-id"] == f"<{r.record_id}>" and r.record_id not in ids
+        assert ids[headers["warc-refers-to"].strip("<>")] == (r.refers_to, r.payload_digest)
+
+
+def test_read_tasks_follow_the_records(make, monkeypatch):
+    pages = make([(i, f"http://a/{i}", f"page {i} " * 50) for i in range(400)], SCHEMA)
+    index = warc.write_archives(pages)
+    assert warc.read_records(index).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(warc, "TASK_RECORDS", 100)
+    assert warc.read_records(index).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(warc, "TASK_BYTES", 1000)
+    n = -(-index.agg(F.sum("length")).first()[0] // 1000)
+    rows = warc.read_records(index)
+    assert rows.rdd.getNumPartitions() == n
+    assert {r.page_id for r in rows.collect()} == set(range(400))
+
+
 def test_selected_records(make):
     index = warc.write_archives(make(PAGES, SCHEMA))
     rows = warc.read_records(index.where("page_id = 3")).collect()
