@@ -39,7 +39,8 @@ def count_tokens(
     boundary between pre-tokens that both have in their overlap and that the first could see
     enough text after to be sure of (`_trusted`): from there on the second splits the text
     as the whole would be. A text with an overlap without such a boundary is done again
-    with a wider one, at last as one chunk. Only numbers are kept between the steps, a few
+    with a wider one, at last as one chunk; chunks are never shorter than the overlap, so that
+    each time at most twice the text is encoded. An empty table gives no row. Only numbers are kept between the steps, a few
     for each chunk, under the text's SHA-256: copies of a text share them, so repeated rows,
     ids and other columns need no care.
     """
@@ -59,6 +60,7 @@ def count_tokens(
         if left.isEmpty():
             break
         overlap *= WIDEN
+        chunk = max(chunk, overlap)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -104,8 +106,9 @@ class Encoder:
     the tokenizer's added tokens is left to the library whole.
     """
 
-    #: Words whose counts are kept at most, before all are forgotten.
-    KEPT = 1 << 19
+    #: Words whose counts are kept at most, before all are forgotten, and their greatest length
+    #: in characters: about 200 MB if all are that long and of four bytes a character.
+    KEPT, KEPT_LENGTH = 1 << 19, 64
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
@@ -124,29 +127,37 @@ class Encoder:
             return CUT.split(text)
         return text.replace(" ", "\0 ").split("\0")
 
-    def learn(self, parted: list[list[str] | None]) -> None:
+    def learn(self, parted: list[list[str] | None]) -> list[str]:
+        """Count all words that are new; gives those too long to be kept, to forget after use."""
         if len(self.counts) > self.KEPT:
             self.counts.clear()
         fresh = list(set().union(*filter(None, parted)).difference(self.counts))
         found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
         self.counts.update(zip(fresh, map(len, found), strict=True))
+        return [w for w in fresh if len(w) > self.KEPT_LENGTH]
+
+    def forget(self, words: list[str]) -> None:
+        for w in words:
+            del self.counts[w]
 
     def totals(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text."""
         parted = [self.words(t) for t in texts]
-        self.learn(parted)
-        return [
+        long = self.learn(parted)
+        totals = [
             len(self.tokenizer.encode(t, add_special_tokens=False))
             if words is None
             else sum(map(self.counts.__getitem__, words))
             for t, words in zip(texts, parted, strict=True)
         ]
+        self.forget(long)
+        return totals
 
     def boundaries(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """Per text, places where pre-tokens begin, each with the number of tokens before; the
         last place is the end of the text."""
         parted = [self.words(t) for t in texts]
-        self.learn(parted)
+        long = self.learn(parted)
         out = []
         for text, words in zip(texts, parted, strict=True):
             if words is None:
@@ -158,6 +169,7 @@ class Encoder:
                 at = accumulate(map(len, words), initial=0)
                 before = accumulate(map(self.counts.__getitem__, words), initial=0)
                 out.append(list(zip(at, before, strict=True)))
+        self.forget(long)
         return out
 
 

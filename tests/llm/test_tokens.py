@@ -47,6 +47,26 @@ def test_overlap_is_widened(make):
     check(make([(1, "one " + "y" * 700 + " two " * 100, None, None, None)]), chunk=50, overlap=5)
 
 
+def test_text_without_spaces(make, monkeypatch):
+    """However wide the overlap must become, a text is encoded at most twice each time."""
+    sizes, spliced = [], tokens._spliced
+    monkeypatch.setattr(tokens, "_spliced", lambda t, p, c, o: sizes.append((c, o)) or spliced(t, p, c, o))
+    check(make([(1, "abc" * 20_000, None, None, None)]), chunk=64, overlap=8)
+    assert len(sizes) > 2 and all(c >= o for c, o in sizes)
+    encoded = sum(60_000 + 60_000 // c * o for c, o in sizes)
+    assert encoded <= 2 * 60_000 * len(sizes)
+
+
+def test_long_words_are_not_kept():
+    encoder = tokens.Encoder(PATH)
+    texts = [f"{i} short " + "漢" * (1000 + i) for i in range(20)]
+    for t in texts:
+        assert encoder.totals([t]) == [count(t)]
+        assert encoder.boundaries([t])[0][-1] == (len(t), count(t))
+    assert max(map(len, encoder.counts)) <= encoder.KEPT_LENGTH
+    assert len(encoder.counts) == 21
+
+
 ENCODER = tokens.Encoder(PATH)
 
 
