@@ -4,25 +4,40 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from quillon.llm.shared import col, without, written
+from quillon.llm.shared import col, file_system, shared_folder, without, written
 from quillon.llm.words import LETTERS_DIGITS, WordHasher, slices
 
 #: Bytes of training text in a shard, words in one suffix array, and bytes of benchmark
 #: text that are searched at once. A task holds a shard and a block of the benchmark.
 SHARD_BYTES, ARRAY_WORDS, BLOCK_BYTES = 4 << 20, 1 << 20, 4 << 20
+#: Pairs of equal places in text and benchmark that are compared at once.
+PAIRS = 1 << 20
 
 SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
+MATCH = StructType(
+    [
+        StructField("item_id", StringType()),
+        StructField("place", LongType()),
+        StructField("start", LongType()),
+        StructField("length", LongType()),
+    ]
+)
 FOUND = [
     StructField("n_words", LongType()),
     StructField("hits", ArrayType(SPAN)),
     StructField("items", ArrayType(StringType())),
+    StructField("matches", ArrayType(MATCH)),
 ]
 ADDED = tuple(f.name for f in FOUND)
 
@@ -35,32 +50,33 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) ->
 
     - n_words: the words of the text;
     - hits: the runs [start, end) of words that lie in any occurrence of a passage, apart
-      and in order, so each is a longest verbatim match or several that overlap;
+      and in order; matches that overlap or adjoin are one run;
     - items: ids of the items with a passage that occurs, as strings, sorted; an item
-      without id marks words but is not listed.
+      without id marks words but is not listed;
+    - matches: for each item and each place in it where a longest match begins, that is, a
+      run of a passage or more that can be extended to neither side, the longest there as
+      (item_id, place, start, length) in words, from the first place of the text that has
+      it. Distinct and in order. Items that share an id, or have none, are not told apart.
 
     Columns of these names in `docs` are replaced; all others are kept. A row's result
-    depends on its text alone, so repeated rows and ids need no care. An empty benchmark
-    hits nothing.
-
-    No row moves: each task cuts its rows into shards, builds a suffix array over the words
-    of a shard, and finds every passage in it by binary search, which gives the locations.
-    The benchmark comes to the tasks as its distinct passages, in blocks of at most twice
-    BLOCK_BYTES of text (or one item, if that is longer) that are searched one after another;
-    the blocks' sizes are checked before.
+    depends on its text alone, so repeated rows and ids need no care. A very long text is a
+    shard of its own. An empty benchmark hits nothing, an empty `docs` gives no row. Words
+    are compared by 64-bit hashes, their texts are not.
+
+    No row moves: each task cuts its rows into shards, orders the suffixes of a shard's
+    words by their first `window` words, and finds every suffix of every item in that
+    order by binary search, equal beginnings once; the beginnings it finds are extended in
+    text and item to their longest match. The benchmark is prepared in tasks and written in
+    blocks of at most twice BLOCK_BYTES of text (or one item, if that is longer), which
+    the searching tasks read one after another; the blocks' sizes are checked before.
     """
     docs = without(docs, ADDED)
-    added = StructType([*docs.schema.fields, *FOUND])
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in FOUND]
-    found = docs.select(*[col(c) for c in docs.columns], *empty)
-    for passages in _blocks(benchmark, window):
-        shared = docs.sparkSession.sparkContext.broadcast(passages)
-        found = found.mapInArrow(_searcher(shared, window), added)
-    return found
+    folder = _write_blocks(benchmark, window)
+    return docs.mapInArrow(_searcher(folder, window), StructType([*docs.schema.fields, *FOUND]))
 
 
-def _blocks(benchmark: DataFrame, window: int) -> Iterator[tuple]:
-    """The benchmark's passages, block by block; an empty one at least."""
+def _write_blocks(benchmark: DataFrame, window: int) -> str:
+    """The folder of the benchmark's blocks, one row each; only sizes come to the driver."""
     items = written(
         benchmark.where(col("text").isNotNull())
         .select(
@@ -76,22 +92,127 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[tuple]:
         if items.groupBy(block).agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] <= bound:
             break
         n *= 2
-    for b in range(n):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield _passages([(r.item_id, r.text) for r in mine.toLocalIterator()], window)
-
-
-def _passages(items: list[tuple[str | None, str]], window: int) -> tuple:
-    """Distinct passages (rows of hashes, padded with 0, and lengths) and each one's items."""
-    hasher, owners = WordHasher(), {}
-    for item_id, text in items:
-        letters = hasher(text.encode().translate(LETTERS_DIGITS))[2]
-        for i in range(max(1, len(letters) - window + 1) if len(letters) else 0):
-            owners.setdefault(letters[i : i + window].tobytes(), set()).add(item_id)
-    rows = np.zeros((len(owners), window), np.uint64)
-    for k, passage in enumerate(owners):
-        rows[k, : len(passage) // 8] = np.frombuffer(passage, np.uint64)
-    return rows, [sorted(x for x in ids if x is not None) for ids in owners.values()]
+    folder = shared_folder(benchmark.sparkSession)
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).groupBy("block").applyInPandas(
+        lambda part: _prepared(part, window), BLOCK
+    ).write.parquet(folder)
+    return folder
+
+
+#: A block: ids of its items; the hashes of all words, items parted by EDGE; where each item
+#: begins; the places of passages, equal ones side by side; and where each run of equals begins.
+BLOCK = "ids array<string>, letters binary, firsts binary, places binary, runs binary"
+#: Stands before and after every item; 0 stands between texts.
+EDGE = np.uint64(1)
+
+
+def _prepared(part: pd.DataFrame, window: int) -> pd.DataFrame:
+    """A block from its items (item_id, text)."""
+    hasher = WordHasher()
+    parted = [hasher(t.encode().translate(LETTERS_DIGITS))[2] for t in part["text"]]
+    names = [None if pd.isna(i) else i for i in part["item_id"]]
+    ids, words = [i for i, w in zip(names, parted, strict=True) if len(w)], [w for w in parted if len(w)]
+    if not words:
+        return pd.DataFrame(columns=["ids", "letters", "firsts", "places", "runs"])
+    sizes = np.array([len(w) for w in words], np.int64)
+    letters = np.full(1 + sizes.sum() + len(words) + window, EDGE)
+    firsts = 1 + np.cumsum(sizes + 1) - sizes - 1
+    places, passages = [], []
+    for w, first in zip(words, firsts.tolist(), strict=True):
+        letters[first : first + len(w)] = w
+        n = max(1, len(w) - window + 1)
+        at = np.arange(first, first + n)
+        rows = letters[at[:, None] + np.arange(window)]
+        rows[:, len(w) :] = 0  # an item shorter than a window
+        places.append(at)
+        passages.append(rows)
+    at, rows = np.concatenate(places), np.concatenate(passages)
+    same = np.unique(rows.view(f"V{8 * window}").ravel(), return_inverse=True)[1]
+    order = np.lexsort((letters[at - 1], same))
+    same = same[order]
+    runs = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
+    one = [ids, letters.tobytes(), firsts.tobytes(), at[order].tobytes(), runs.tobytes()]
+    return pd.DataFrame([one], columns=["ids", "letters", "firsts", "places", "runs"])
+
+
+@dataclass
+class Block:
+    """A block of the benchmark as the search needs it."""
+
+    ids: list[str | None]
+    letters: np.ndarray
+    firsts: np.ndarray
+    places: np.ndarray
+    runs: np.ndarray
+    window: int
+    ends: np.ndarray = field(init=False)
+    sizes: np.ndarray = field(init=False)
+    before: np.ndarray = field(init=False)
+    keys: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.ends = np.append(self.runs[1:], len(self.places))
+        first = self.places[self.runs]
+        lengths = np.diff(np.append(self.firsts, len(self.letters) - self.window)) - 1
+        self.sizes = np.minimum(lengths[self.item(first)], self.window)
+        # places of a run are in the order of the word before them
+        self.before, rank = np.unique(self.letters[self.places - 1], return_inverse=True)
+        run = np.repeat(np.arange(len(self.runs)), self.ends - self.runs)
+        self.keys = run * len(self.before) + rank
+
+    def item(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.firsts, places, "right") - 1
+
+    def pairs(self, which: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(k, place), about PAIRS at a time, for each k-th occurrence, of the run `which[k]` of
+        equal passages and with the word `before[k]` before it, and each place of that run with
+        another word before it: where a match cannot be extended to the left."""
+        rank = np.minimum(np.searchsorted(self.before, before), len(self.before) - 1)
+        key = which * len(self.before) + rank
+        low = np.searchsorted(self.keys, key)
+        high = np.where(self.before[rank] == before, np.searchsorted(self.keys, key, "right"), low)
+        n = self.ends[which] - self.runs[which] - (high - low)
+        live = np.flatnonzero(n)
+        for a, b in slices(n[live].tolist(), PAIRS):
+            some = live[a:b]
+            k = np.repeat(some, n[some])
+            at = self.runs[which[k]] + np.arange(len(k)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+            yield k, self.places[at + np.where(at >= low[k], high[k] - low[k], 0)]
+
+
+def _blocks(folder: str, window: int) -> Iterator[Block]:
+    system, path = file_system(folder)
+    for info in sorted(system.get_file_info(pyarrow.fs.FileSelector(path)), key=lambda f: f.path):
+        if info.base_name.startswith(("_", ".")) or not info.is_file:
+            continue
+        with system.open_input_file(info.path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=1):
+                for row in batch.to_pylist():
+                    letters = np.frombuffer(row["letters"], np.uint64)
+                    numbers = [np.frombuffer(row[c], np.int64) for c in ("firsts", "places", "runs")]
+                    yield Block(row["ids"], letters, *numbers, window)
+
+
+class Benchmark:
+    """The blocks of a folder, one after another as often as asked; kept if they are small."""
+
+    #: Words kept at most.
+    KEPT = 1 << 21
+
+    def __init__(self, folder: str, window: int) -> None:
+        self.folder, self.window, self.kept = folder, window, None
+
+    def __iter__(self) -> Iterator[Block]:
+        if self.kept is not None:
+            yield from self.kept
+            return
+        kept, size = [], 0
+        for block in _blocks(self.folder, self.window):
+            size += len(block.letters)
+            kept = [*kept, block] if size <= self.KEPT else []
+            yield block
+        if size <= self.KEPT:
+            self.kept = kept
 
 
 def suffix_array(ranks: np.ndarray, depth: int) -> np.ndarray:
@@ -146,22 +267,35 @@ def locate(ranks: np.ndarray, order: np.ndarray, wanted: np.ndarray, sizes: np.n
     return low, high, longest
 
 
-def _search(letters: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences (word, passage) of passages in one run of words; 0 parts documents."""
-    known, ranks = np.unique(letters, return_inverse=True)
-    at = np.minimum(np.searchsorted(known, passages), len(known) - 1)
-    sizes = (passages != 0).sum(axis=1)
-    wanted = np.where(known[at] == passages, at, -2)  # no suffix has a -2
-    order = suffix_array(ranks, passages.shape[1])
-    low, high, _ = locate(ranks, order, wanted, sizes)
+def _occurrences(known: np.ndarray, ranks: np.ndarray, order: np.ndarray, block: Block):
+    """Occurrences (word, run of equal passages) of a block's passages in one run of words."""
+    at = np.minimum(np.searchsorted(known, block.letters), len(known) - 1)
+    rank = np.where(known[at] == block.letters, at, -2)  # no suffix has a -2
+    wanted = rank[block.places[block.runs][:, None] + np.arange(block.window)]
+    low, high, _ = locate(ranks, order, wanted, block.sizes)
     n = high - low
-    which = np.repeat(np.arange(len(passages)), n)
+    which = np.repeat(np.arange(len(n)), n)
     skip = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     return order[np.repeat(low, n) + skip], which
 
 
-def _shard(texts: list[str | None], passages: np.ndarray, hasher: WordHasher):
-    """Per text: its number of words, the mask of hit words, and the passages it holds."""
+def _extended(letters: np.ndarray, at: np.ndarray, block: Block, places: np.ndarray, sizes: np.ndarray):
+    """How many words are equal from each `at` of the text and each place of the block on; `sizes`
+    are known to be. Every text and every item ends with a word that the other never has."""
+    lengths, open_ = sizes.copy(), np.arange(len(at))
+    while len(open_):
+        n = lengths[open_]
+        open_ = open_[letters[at[open_] + n] == block.letters[places[open_] + n]]
+        lengths[open_] += 1
+    return lengths
+
+
+#: Per item id and place, the longest match there: its length, and minus its start.
+Longest = dict[tuple[str | None, int], tuple[int, int]]
+
+
+def _shard(texts: list[str | None], benchmark: Iterable[Block], window: int, hasher: WordHasher):
+    """Per text: its number of words, the mask of its hit words, and its longest matches."""
     data = [(t or "").encode().translate(LETTERS_DIGITS) for t in texts]
     starts, _, hashes = hasher(b" ".join(data))
     begins = np.cumsum([0] + [len(x) + 1 for x in data])
@@ -170,66 +304,68 @@ def _shard(texts: list[str | None], passages: np.ndarray, hasher: WordHasher):
     letters = np.zeros(len(hashes) + len(texts), np.uint64)
     letters[np.arange(len(hashes)) + owner] = hashes  # a 0 after each text
     firsts = np.cumsum(counts + 1) - counts - 1
-    sizes = (passages != 0).sum(axis=1)
-    marks, held = np.zeros(len(letters) + 1, np.int32), []
-    if len(passages):
-        for a in range(0, len(letters), ARRAY_WORDS):
-            part = letters[a : a + ARRAY_WORDS + passages.shape[1] - 1]
-            at, which = _search(part, passages)
-            np.add.at(marks, at + a, 1)
-            np.add.at(marks, at + a + sizes[which], -1)
-            text = np.searchsorted(firsts, at + a, "right") - 1
-            held.append(np.unique(np.stack((text, which)), axis=1))
+    marks = np.zeros(len(letters) + 1, np.int32)
+    matches: list[Longest] = [{} for _ in texts]
+    for a in range(0, len(letters), ARRAY_WORDS):
+        known, ranks = np.unique(letters[a : a + ARRAY_WORDS + window - 1], return_inverse=True)
+        order = suffix_array(ranks, window)
+        for block in benchmark:
+            at, which = _occurrences(known, ranks, order, block)
+            at += a
+            np.add.at(marks, at, 1)
+            np.add.at(marks, at + block.sizes[which], -1)
+            for k, places in block.pairs(which, np.where(at > 0, letters[at - 1], 0)):
+                lengths = _extended(letters, at[k], block, places, block.sizes[which[k]])
+                text = np.searchsorted(firsts, at[k], "right") - 1
+                _keep_longest(matches, text, at[k] - firsts[text], lengths, block, places)
     hit = np.cumsum(marks)[:-1] > 0
-    pairs = np.concatenate(held, axis=1) if held else np.empty((2, 0), np.int64)
-    return counts, hit, firsts, pairs
+    return counts, [hit[f : f + n] for f, n in zip(firsts, counts, strict=True)], matches
 
 
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
+def _keep_longest(matches: list[Longest], text, start, length, block: Block, places) -> None:
+    order = np.lexsort((start, -length, places, text))
+    text, start, length, places = text[order], start[order], length[order], places[order]
+    new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (places[1:] != places[:-1]))))
+    item = block.item(places[new])
+    rows = (text[new], item, places[new] - block.firsts[item], length[new], -start[new])
+    for t, i, place, *found in zip(*(x.tolist() for x in rows), strict=True):
+        key, found = (block.ids[i], place), tuple(found)
+        if found > matches[t].get(key, (0, 0)):
+            matches[t][key] = found
+
+
+def _runs(mask: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+    return [{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
-def _searcher(shared, window: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _searcher(folder: str, window: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    match = pa.struct(
+        [("item_id", pa.string()), ("place", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]
+    )
+
+    def listed(longest: Longest) -> list[dict]:
+        rows = sorted(longest.items(), key=lambda x: (x[0][0] is not None, x[0][0] or "", x[0][1]))
+        return [
+            {"item_id": i, "place": p, "start": -start, "length": n} for (i, p), (n, start) in rows
+        ]
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, owners = shared.value
-        hasher = WordHasher()
+        benchmark, hasher = Benchmark(folder, window), WordHasher()
         for batch in batches:
-            names = batch.schema.names
-            text = batch.column(names.index("text"))
+            text = batch.column(batch.schema.names.index("text"))
             sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_pylist()
             for a, b in slices(sizes, SHARD_BYTES):
-                part = batch.slice(a, b - a)
-                counts, hit, firsts, pairs = _shard(text[a:b].to_pylist(), passages, hasher)
-                hits = [[] for _ in range(b - a)]
-                items = [set() for _ in range(b - a)]
-                for k, p in pairs.T.tolist():
-                    items[k].update(owners[p])
-                for k in np.unique(pairs[0]).tolist():
-                    hits[k] = _runs(hit[firsts[k] : firsts[k] + counts[k]])
-                columns = part.columns[:-3]
-                old_hits, old_items = part.column(len(names) - 2), part.column(len(names) - 1)
-                if old_hits.null_count < len(old_hits):  # a later block of the benchmark
-                    for k in range(b - a):
-                        hits[k] = _merged(hits[k] + [(x["start"], x["end"]) for x in old_hits[k].as_py()])
-                        items[k].update(old_items[k].as_py())
-                columns += [
+                counts, hits, matches = _shard(text[a:b].to_pylist(), benchmark, window, hasher)
+                items = [sorted({i for i, _ in m if i is not None}) for m in matches]
+                columns = [
+                    *batch.slice(a, b - a).columns,
                     pa.array(counts, pa.int64()),
-                    pa.array([[{"start": s, "end": e} for s, e in h] for h in hits], pa.list_(span)),
-                    pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+                    pa.array([_runs(h) for h in hits], pa.list_(span)),
+                    pa.array(items, pa.list_(pa.string())),
+                    pa.array([listed(m) for m in matches], pa.list_(match)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *ADDED])
 
     return search
-
-
-def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(runs):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out

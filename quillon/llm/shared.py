@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/quillon-{uuid.uuid4().hex}"
 
 
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a URI that pyarrow knows (file, hdfs, s3, gs), and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
 def written(df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back.
 

@@ -9,11 +9,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import col, shared_folder, written
+from quillon.llm.shared import col, file_system, shared_folder, written
 
 INDEX = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, "
@@ -104,10 +103,6 @@ def read_records(index: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_read, READ)
 
 
-def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-
-
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     """Row by row, a few at a time, so that a batch is not held twice."""
     for batch in batches:
@@ -125,7 +120,7 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def _write(folder: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    system, path = _open(folder)
+    system, path = file_system(folder)
     system.create_dir(path, recursive=True)
     schema, out, name, offset, done = _arrow(INDEX), None, "", 0, []
     try:
@@ -247,7 +242,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if file != name:
             if source is not None:
                 source.close()
-            system, path = _open(file)
+            system, path = file_system(file)
             name, source = file, system.open_input_file(path)
         end = max(o + n for o, n in parts)
         block = source.read_at(end - start, start)
