@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
@@ -20,7 +19,7 @@ from quillon.llm.words import LETTERS_DIGITS, WordHasher, slices
 
 #: Bytes of training text in a shard, words in one suffix array, and bytes of benchmark
 #: text that are searched at once. A task holds a shard and a block of the benchmark.
-SHARD_BYTES, ARRAY_WORDS, BLOCK_BYTES = 4 << 20, 1 << 20, 4 << 20
+SHARD_BYTES, ARRAY_WORDS, BLOCK_BYTES = 2 << 20, 1 << 19, 2 << 20
 #: Pairs of equal places in text and benchmark that are compared at once.
 PAIRS = 1 << 20
 
@@ -93,7 +92,7 @@ def _write_blocks(benchmark: DataFrame, window: int) -> str:
             break
         n *= 2
     folder = shared_folder(benchmark.sparkSession)
-    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).groupBy("block").applyInPandas(
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).groupBy("block").applyInArrow(
         lambda part: _prepared(part, window), BLOCK
     ).write.parquet(folder)
     return folder
@@ -101,19 +100,21 @@ def _write_blocks(benchmark: DataFrame, window: int) -> str:
 
 #: A block: ids of its items; the hashes of all words, items parted by EDGE; where each item
 #: begins; the places of passages, equal ones side by side; and where each run of equals begins.
+ARRAYS = ("letters", "firsts", "places", "runs")
 BLOCK = "ids array<string>, letters binary, firsts binary, places binary, runs binary"
 #: Stands before and after every item; 0 stands between texts.
 EDGE = np.uint64(1)
 
 
-def _prepared(part: pd.DataFrame, window: int) -> pd.DataFrame:
-    """A block from its items (item_id, text)."""
+def _prepared(part: pa.Table, window: int) -> pa.Table:
+    """A block from its items (item_id, text); no row if they have no word."""
+    schema = pa.schema([("ids", pa.list_(pa.string())), *[(c, pa.binary()) for c in ARRAYS]])
     hasher = WordHasher()
-    parted = [hasher(t.encode().translate(LETTERS_DIGITS))[2] for t in part["text"]]
-    names = [None if pd.isna(i) else i for i in part["item_id"]]
+    parted = [hasher(t.as_py().encode().translate(LETTERS_DIGITS))[2] for t in part["text"]]
+    names = part["item_id"].to_pylist()
     ids, words = [i for i, w in zip(names, parted, strict=True) if len(w)], [w for w in parted if len(w)]
     if not words:
-        return pd.DataFrame(columns=["ids", "letters", "firsts", "places", "runs"])
+        return schema.empty_table()
     sizes = np.array([len(w) for w in words], np.int64)
     letters = np.full(1 + sizes.sum() + len(words) + window, EDGE)
     firsts = 1 + np.cumsum(sizes + 1) - sizes - 1
@@ -131,8 +132,8 @@ def _prepared(part: pd.DataFrame, window: int) -> pd.DataFrame:
     order = np.lexsort((letters[at - 1], same))
     same = same[order]
     runs = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
-    one = [ids, letters.tobytes(), firsts.tobytes(), at[order].tobytes(), runs.tobytes()]
-    return pd.DataFrame([one], columns=["ids", "letters", "firsts", "places", "runs"])
+    arrays = [a.tobytes() for a in (letters, firsts, at[order], runs)]
+    return pa.Table.from_pylist([{"ids": ids, **dict(zip(ARRAYS, arrays, strict=True))}], schema)
 
 
 @dataclass
@@ -189,7 +190,7 @@ def _blocks(folder: str, window: int) -> Iterator[Block]:
             for batch in pq.ParquetFile(source).iter_batches(batch_size=1):
                 for row in batch.to_pylist():
                     letters = np.frombuffer(row["letters"], np.uint64)
-                    numbers = [np.frombuffer(row[c], np.int64) for c in ("firsts", "places", "runs")]
+                    numbers = [np.frombuffer(row[c], np.int64) for c in ARRAYS[1:]]
                     yield Block(row["ids"], letters, *numbers, window)
 
 

@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,9 +127,9 @@ def test_shard_in_parts(monkeypatch, seed):
     """Arrays that end within matches, blocks of a few items, and pairs a few at a time."""
     docs, items = random_case(seed)
     items = [(None if i is None else str(i), f"{k} {t}" if k % 2 else t) for k, (i, t) in enumerate(items)]
-    parts = [d._prepared(pd.DataFrame(items[k : k + 7], columns=["item_id", "text"]), 4) for k in range(0, 25, 7)]
+    table = pa.table(dict(zip(("item_id", "text"), map(list, zip(*items, strict=True)), strict=True)))
     blocks = []
-    for row in (r for part in parts for r in part.to_dict("records")):
+    for row in (r for k in range(0, 25, 7) for r in d._prepared(table.slice(k, 7), 4).to_pylist()):
         numbers = [np.frombuffer(row[c], np.int64) for c in ("firsts", "places", "runs")]
         blocks.append(d.Block(row["ids"], np.frombuffer(row["letters"], np.uint64), *numbers, 4))
     monkeypatch.setattr(d, "ARRAY_WORDS", 20)
