@@ -187,7 +187,8 @@ def identify(docs: DataFrame, model: Automata) -> DataFrame:
     times the bits that name a place in the language's sample, are its cost. The least cost
     wins, the first name among equals. The score is the second least cost's share of both,
     0.5 to 1, and 1 for a single language. A text that is null or has no letter, or any text
-    if no language was learned, is `und` with score 0. No row moves; the automata, of at most
+    if no language was learned, is `und` with score 0. A row's result depends on its text alone,
+    so repeated rows have the same; an empty table gives no row. No row moves; the automata, of at most
     two for each symbol learned, are broadcast.
     """
     docs = without(docs, ["lang_pred", "score"])

@@ -87,7 +87,9 @@ def fit(
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with `score`, the probability of label 1 for its whole text, 0 to 1; replaces a
     column of that name. A null text has no features, like an empty one: its score is that of
-    the bias. No row moves; the model, of at most 2**BITS weights, is broadcast.
+    the bias. A row's score depends on its text alone, all of it however long, so repeated rows
+    score alike; an empty table gives no row. No row moves; the model, of at most 2**BITS
+    weights, is broadcast.
     """
     docs = without(docs, ["score"])
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
