@@ -64,13 +64,19 @@ def judge(
     )
     reference = written(references(rows))
     met = rows.join(reference.withColumnRenamed("tongue", "of"), F.col("tongue") == F.col("of"), "left")
+    # No common word has more characters than the longest, and lower case never has fewer.
+    short = F.filter("letter_words", lambda w: F.char_length(w) <= F.col("longest"))
     marks = F.array_join(
-        F.transform("letter_words", lambda w: F.substring(F.lit(MARKS), F.array_position("common", w).cast("int") + 1, F.lit(1))),
+        F.transform(
+            short,
+            lambda w: F.substring(F.lit(MARKS), F.array_position("common", F.lower(w)).cast("int") + 1, F.lit(1)),
+        ),
         "",
     )
     met = _base(met.withColumn("marks", marks))
-    n = F.length("marks")
-    counts = [n - F.length(F.replace("marks", F.lit(m))) for m in (*MARKS[1 : COMMON + 1], MARKS[0])]
+    n = F.col("n_letter_words")
+    counts = [F.length("marks") - F.length(F.replace("marks", F.lit(m))) for m in MARKS[1 : COMMON + 1]]
+    counts.append(n - sum(counts[1:], counts[0]))
     word_distance = F.when(n >= min_words, distance(F.array(*[c / n for c in counts]), F.col("word_shares")))
     total = F.length("text")
     char_distance = F.when(
@@ -91,21 +97,31 @@ def judge(
 
 
 def _profiles(rows: DataFrame) -> DataFrame:
-    """Adds the characters that are no letters, counts by class, and words of letters only."""
+    """Adds the characters that are no letters, counts by class, and words of letters only.
+
+    The words are as written, not in lower case, with an empty one where the text begins or
+    ends with no letter; n_letter_words does not count those.
+    """
     rows = rows.withColumn("rest", F.regexp_replace("text", r"\p{L}+", ""))
     capital = F.length(F.regexp_replace("text", r"[^\p{Lu}]+", ""))
     classes = [F.length("rest") - F.length(F.regexp_replace("rest", c, "")) for c in CLASSES]
     other = F.length("rest") - sum(classes[1:], classes[0])
     letters = F.length("text") - F.length("rest")
     counts = [capital, letters - capital, *classes, other]
-    spaced = F.lower(F.regexp_replace("text", r"[^\p{L}]+", " "))
-    return rows.withColumn("classes", F.array(*[c.cast("double") for c in counts])).withColumn(
-        "letter_words", F.array_remove(F.split(spaced, " "), "")
+    rows = rows.withColumn("classes", F.array(*[c.cast("double") for c in counts])).withColumn(
+        "letter_words", F.split("text", r"\P{L}+")
     )
+    size = F.size("letter_words")
+    first = (F.get("letter_words", F.lit(0)) == "").cast("int")
+    last = ((size > 1) & (F.get("letter_words", size - 1) == "")).cast("int")
+    return rows.withColumn("n_letter_words", size - first - last)
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """(tongue, common, word_shares, char_shares) from all rows of a language."""
+    """(tongue, common, longest, word_shares, char_shares) from all rows of a language.
+
+    common: words in lower case; longest: the characters of the longest one.
+    """
     n = 3 + len(CLASSES)
     sums = rows.groupBy("tongue").agg(
         *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n)]
@@ -116,7 +132,8 @@ def references(rows: DataFrame) -> DataFrame:
     )
     counted = (
         rows.select("tongue", F.explode("letter_words").alias("word"))
-        .groupBy("tongue", "word")
+        .where(F.col("word") != "")
+        .groupBy("tongue", F.lower("word").alias("word"))
         .agg(F.count("*").alias("n"))
     )
     words = counted.groupBy("tongue").agg(F.sum("n").alias("words"))
@@ -141,6 +158,7 @@ def references(rows: DataFrame) -> DataFrame:
     ).select(
         "tongue",
         "common",
+        F.coalesce(F.array_max(F.transform("common", lambda w: F.char_length(w))), F.lit(0)).alias("longest"),
         F.concat(
             "common_shares",
             F.array(F.lit(1.0) - F.aggregate("common_shares", F.lit(0.0), lambda a, b: a + b)),
@@ -205,7 +223,7 @@ def _base(rows: DataFrame) -> DataFrame:
     repeated = F.when(F.size("at") > 0, covered + 8).otherwise(0)
     counts = {
         "n_words": F.size("words"),
-        "word_chars": F.length(F.regexp_replace("text", word + "+", "")),
+        "word_chars": F.length(F.array_join("words", "")),
         "n_symbols": F.length("rest") - F.length(F.regexp_replace("rest", "[#*$%&|<>]+", "")),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_repeat_words": repeated,
