@@ -24,10 +24,10 @@ SECOND = 3
 LEVELS = 8
 
 #: Bytes of text taken at once, signatures of a block, and those of a bucket, about.
-SLICE_BYTES, BLOCK, BUCKET = 1 << 20, 1 << 21, 1 << 20
+SLICE_BYTES, BLOCK, BUCKET = 1 << 20, 1 << 20, 1 << 19
 #: A signature more frequent in a block is led there by one of its sets. One in so many of the
 #: signatures of three sets or more has all of them compared with a leader at first.
-LED, LED_PART = 64, 8
+LED, LED_PART = 32, 8
 #: Documents sampled for common shingles, in how many of them a shingle is common, and most such.
 SAMPLE, COMMON, MOST_COMMON = 4096, 8, 1 << 16
 #: Members of a group that are compared with each other at once, counters of a sketch, and bits
@@ -211,13 +211,16 @@ def _signer(size: int, table: Bands, common: np.ndarray, percent: int, buckets:
     """Signatures packed by bucket. Sets are numbered in the task; a row without bucket has the
     nodes of its numbers. An entry is the signature's last 40 bits and 24 of a number."""
 
-    def block(sig: np.ndarray, of: np.ndarray, nodes: list[bytes], base: int) -> Iterator[pa.RecordBatch]:
+    def block(held: list[tuple[np.ndarray, np.ndarray]], nodes: list[bytes], base: int) -> Iterator[pa.RecordBatch]:
         rows = [(None, base, None, None, b"".join(nodes))]
-        bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        key = (bucket.astype(np.uint64) << np.uint64(40)) | (sig & np.uint64((1 << 40) - 1))
+        key, of = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        bucket = (key >> np.uint64(40)) % np.uint64(buckets)
+        key = (bucket << np.uint64(40)) | (key & np.uint64((1 << 40) - 1))
         order = np.argsort(key, kind="stable")
         key, of, bucket = key[order], of[order], bucket[order]
-        entry = ((key & np.uint64((1 << 40) - 1)) << np.uint64(24)) | of.astype(np.uint64)
+        del order
+        entry = (key << np.uint64(24)) | of  # without the bucket's bits
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.append(start, len(key)))
         large = np.repeat(length > LED, length)
@@ -227,7 +230,7 @@ def _signer(size: int, table: Bands, common: np.ndarray, percent: int, buckets:
         for few in (True, False):
             mine = np.flatnonzero(kept if few else large)
             for chosen in np.split(mine, np.flatnonzero(np.diff(bucket[mine])) + 1) if len(mine) else ():
-                led = None if few else leader[chosen].astype(np.uint32).tobytes()
+                led = None if few else leader[chosen].tobytes()
                 rows.append((int(bucket[chosen[0]]), base, entry[chosen].tobytes(), led, None))
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         names = ("bucket", "base", "entries", "leaders", "nodes")
@@ -244,13 +247,13 @@ def _signer(size: int, table: Bands, common: np.ndarray, percent: int, buckets:
                     nodes.append(node)
                     fresh.append(s)
             sig, of = signatures(fresh, table, common, percent)
-            held.append((sig, of + (len(nodes) - len(fresh))))
+            held.append((sig, (of + (len(nodes) - len(fresh))).astype(np.uint32)))
             n += len(sig)
             if n >= BLOCK or len(nodes) >= 1 << 23:
-                yield from block(*(np.concatenate(x) for x in zip(*held, strict=True)), nodes, base)
+                yield from block(held, nodes, base)
                 base, nodes, known, held, n = base + len(nodes), [], set(), [], 0
         if nodes:
-            yield from block(*(np.concatenate(x) for x in zip(*held, strict=True)), nodes, base)
+            yield from block(held, nodes, base)
 
     return run
 

@@ -1,6 +1,8 @@
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from odd_docs import ODD, SCHEMA, groups, prose
@@ -120,3 +122,26 @@ def test_shingle_counts_equal_those_of_strings():
     texts = [r[1] for r in ODD]
     found = ngram_join.shingle_sets([None if t is None else t.encode() for t in texts], WordHasher(), 5)
     assert [len(s) for s in found] == [len(shingles(t)) for t in texts]
+
+
+def test_signing_holds_a_bounded_block(monkeypatch):
+    """Memory of a task that signs more than fits a block, all its texts being one batch."""
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(ngram_join, "TaskContext", Context)
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"{x:x}" for x in r.integers(0, 1 << 40, 1000)).encode() for _ in range(2600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    sign = ngram_join._signer(5, ngram_join.bands(1000, 80), np.empty(0, np.uint64), 80, 16)
+    tracemalloc.start()
+    entries = nodes = 0
+    for out in sign([batch]):
+        entries += sum(len(x.as_py()) // 8 for x in out.column("entries") if x.is_valid)
+        nodes += sum(len(x.as_py()) // 16 for x in out.column("nodes") if x.is_valid)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert nodes == len(texts) and entries > 1 << 21
+    assert peak < 170 << 20, peak
