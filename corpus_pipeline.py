@@ -18,14 +18,21 @@ from quillon.sources import read_table
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """`docs` as one column `row`, and its text beside."""
-    return docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col("text").alias("text"))
+    """`docs` as its text, and one column `row` of all others, so that a text is sent to Python once."""
+    others = [col(c) for c in docs.columns if c.lower() != "text"]
+    return docs.select(F.struct(*others).alias("row"), col("text").alias("text"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of `packed`, with the columns of `docs`."""
+    row = F.col("row")
+    return packed.select(*[F.col("text").alias(c) if c.lower() == "text" else row[c].alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5."""
     model = toxicity_model(spark, docs.select("doc_id", "text"), sf_dir)
-    return toxicity.score(_packed(docs), model).where(F.col("score") < 0.5).select("row.*")
+    return _unpacked(toxicity.score(_packed(docs), model).where(F.col("score") < 0.5), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +45,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold no passage of the benchmark."""
     benchmark = read_table(spark, sf_dir, "benchmark")
     found = decontamination.find_matches(_packed(docs), benchmark)
-    return found.where(F.size("hits") == 0).select("row.*")
+    return _unpacked(found.where(F.size("hits") == 0), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as a mix of all sources takes them."""
-    rows = _packed(docs).select(
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row")).select(
         "row",
         F.col("row.source").alias("source"),
-        n_words(F.col("text")).alias("size"),
+        n_words(F.col("row.text")).alias("size"),
         F.col("row.doc_id").alias("doc_id"),
         F.xxhash64("row").alias("mark"),
     )

@@ -449,24 +449,26 @@ def _components(prints: DataFrame, first: Column, rule: Links64 | Links256, edge
 def _prints(texts: DataFrame, shingle: int, seed: int, rule: Links64 | Links256) -> DataFrame:
     """Fingerprints without the texts, and the node of each: the fingerprint if it is one word,
     or else 64 bits of the name of the text's set of shingles, which is `set`."""
-    prints = fingerprints(texts, shingle=shingle, seed=seed, rule=rule)
+    names = columns(rule)
     if rule.words == 1:
-        return written(prints.drop("text").withColumn("node", F.col(columns(rule)[0])))
-    kept = [c for c in prints.columns if c != "text"]
-    schema = StructType(
-        [*prints.select(*kept).schema.fields, StructField("set", BinaryType()), StructField("node", LongType())]
-    )
+        prints = fingerprints(texts, shingle=shingle, seed=seed, rule=rule)
+        return written(prints.drop("text").withColumn("node", F.col(names[0])))
+    texts = without(texts, names)
+    others = [f for f in texts.schema.fields if f.name != "text"]
+    added = [*[StructField(n, LongType()) for n in names], StructField("set", BinaryType()), StructField("node", LongType())]
+    kept = [*[f.name for f in others], *names]
+    add = _fingerprinter(shingle, seed, names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in ngram_join.text_sets(batches, shingle):
-            names = [ngram_join.node_of(s) for s in sets]
-            nodes = [int.from_bytes(x[:8], "big", signed=True) for x in names]
+        for batch, sets in ngram_join.text_sets(add(batches), shingle):
+            marks = [ngram_join.node_of(s) for s in sets]
+            nodes = [int.from_bytes(x[:8], "big", signed=True) for x in marks]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(names, pa.binary()), pa.array(nodes, pa.int64())],
+                [*[batch.column(c) for c in kept], pa.array(marks, pa.binary()), pa.array(nodes, pa.int64())],
                 schema=pa.schema([*[batch.schema.field(c) for c in kept], ("set", pa.binary()), ("node", pa.int64())]),
             )
 
-    return written(prints.mapInArrow(run, schema))
+    return written(texts.mapInArrow(run, StructType([*others, *added])))
 
 
 def similar(

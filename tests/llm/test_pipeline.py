@@ -78,3 +78,16 @@ def test_empty_documents(spark, sf_dir):
 def test_registered():
     assert __spark_entry__.queries()["pipeline"] is pipeline.run
     assert ("pipeline" in __spark_entry__.oracle_sql()) == bool(pipeline.ORACLE_SQL)
+
+
+def test_a_text_is_sent_to_python_once(spark, sf_dir, monkeypatch):
+    sent = []
+    find, score = pipeline.decontamination.find_matches, pipeline.toxicity.score
+    monkeypatch.setattr(pipeline.decontamination, "find_matches", lambda docs, *a: sent.append(docs) or find(docs, *a))
+    monkeypatch.setattr(pipeline.toxicity, "score", lambda docs, *a: sent.append(docs) or score(docs, *a))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pipeline.drop_toxic(spark, docs, sf_dir)
+    pipeline.drop_contaminated(spark, docs, sf_dir)
+    assert len(sent) == 2
+    for df in sent:
+        assert "text" not in df.schema["row"].dataType.names and "doc_id" in df.schema["row"].dataType.names

@@ -232,3 +232,15 @@ def test_every_link_between_groups_comes_once(spark, rule):
     near = [(u, v) for u, v in np.argwhere(bits <= rule.budget).tolist() if u < v and u % 3 != v % 3]
     found = [tuple(sorted((r.u, r.v))) for r in simhash.link(nodes, rule, every=True).collect()]
     assert sorted(found) == near
+
+
+def test_prints_and_sets_are_taken_in_one_python_step(make, monkeypatch, capsys):
+    monkeypatch.setattr(simhash, "written", lambda df: df)
+    texts = make([(i, prose(i, 40), "en", "a", 1) for i in range(5)]).select("doc_id", "text")
+    prints = simhash._prints(texts, 5, 42, Links256())
+    prints.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    plain = {r.doc_id: r for r in simhash.fingerprints(texts, shingle=5, rule=Links256()).collect()}
+    names = simhash.columns(Links256())
+    for r in prints.collect():
+        assert [r[c] for c in names] == [plain[r.doc_id][c] for c in names] and len(r.set) == 16
