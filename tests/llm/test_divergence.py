@@ -112,3 +112,16 @@ def test_empty_and_clashing(none, odd):
     out = d.judge(odd.withColumns({"Kept": F.lit(1), "words": F.lit("w"), "classes": F.lit("c"), "row": F.lit(2)}))
     assert out.columns == [*odd.columns, "words", "classes", "row", *d.BASE, "word_distance", "char_distance", "kept"]
     assert out.where("words = 'w' and classes = 'c' and row = 2").count() == len(ODD)
+
+
+def test_work_is_left_out_where_it_tells_nothing(make):
+    """Windows are hashed only where four words come twice, and texts in ASCII lowered as a whole."""
+    odd = "\u0130stanbul IS Ok"
+    texts = [" ".join(f"w{i}" for i in range(40)), " ".join(["one two Three four five"] * 4), "A b. C", odd]
+    df = make([(i, t, "en", "a", 1) for i, t in enumerate(texts)]).select("doc_id", "text", F.lit("=en").alias("tongue"))
+    rows = {r.doc_id: r for r in d._base(d._profiles(df)).collect()}
+    assert [len(rows[i].windows) for i in range(4)] == [0, 13, 0, 0]
+    assert [rows[i].n_repeat_words for i in range(4)] == [0, 20, 0, 0]
+    assert rows[2].letter_words == ["a", "b", "c"] and rows[3].letter_words == odd.split()
+    top = d.references(d._profiles(df.where("doc_id = 3"))).first()
+    assert sorted(top.common) == sorted(w.lower() for w in odd.split())
