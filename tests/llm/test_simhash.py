@@ -236,7 +236,8 @@ def test_every_link_between_groups_comes_once(spark, rule):
 
 def test_prints_and_sets_are_taken_in_one_python_step(make, monkeypatch, capsys):
     monkeypatch.setattr(simhash, "written", lambda df: df)
-    texts = make([(i, prose(i, 40), "en", "a", 1) for i in range(5)]).select("doc_id", "text")
+    texts = make([(i, prose(i, 40), "en", "a", 1) for i in range(5)])
+    texts = texts.select("doc_id", F.col("text").cast("binary").alias("text"))
     prints = simhash._prints(texts, 5, 42, Links256())
     prints.explain()
     assert capsys.readouterr().out.count("MapInArrow") == 1
