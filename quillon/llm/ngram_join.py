@@ -30,9 +30,9 @@ SLICE_BYTES, BLOCK, BUCKET = 1 << 20, 1 << 20, 1 << 19
 LED, LED_PART = 32, 8
 #: Documents sampled for common shingles, in how many of them a shingle is common, and most such.
 SAMPLE, COMMON, MOST_COMMON = 4096, 8, 1 << 16
-#: Members of a group that are compared with each other at once, counters of a sketch, and bits
-#: of the filter of members.
-PART, SKETCH, FILTER_BITS = 512, 256, 27
+#: Members of a group that are compared with each other at once, counters of a sketch, pairs of
+#: sketches compared at once, and bits of the filter of members.
+PART, SKETCH, SKETCHED, FILTER_BITS = 512, 256, 1 << 13, 27
 
 #: Bytes as they are but for A-Z, lowered, and white space, made spaces.
 SPACED = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -171,6 +171,21 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8)
 
 
+def similar_sketches(sizes: np.ndarray, sketches: list[bytes], percent: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Tells which pairs (u, v) of sets may link, by their sizes and sketches."""
+    counts = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sizes), SKETCH).astype(np.int16)
+
+    def may(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = 100 * np.minimum(sizes[u], sizes[v]) >= percent * np.maximum(sizes[u], sizes[v])
+        at = np.flatnonzero(out)
+        for some in np.split(at, range(SKETCHED, len(at), SKETCHED)):
+            a, b = u[some], v[some]
+            out[some] = np.abs(counts[a] - counts[b]).sum(axis=1) <= most_apart(sizes[a] + sizes[b], percent)
+        return out
+
+    return may
+
+
 def text_sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     hasher = WordHasher()
     for batch in batches:

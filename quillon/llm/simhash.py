@@ -220,6 +220,35 @@ class Links:
         """Whether the members from low to high are all connected."""
         return self.runs[low] == self.runs[high - 1]
 
+    def settled(self, x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether ranges of members (low, high) need not be compared, as all are connected."""
+        return self.uniform(*x) & self.uniform(*y) & (self.parent[x[0]] == self.parent[y[0]])
+
+
+class Open(Links):
+    """Which members are within the budgets of one of another group; ranges of which all are
+    need no more pairs, so that a large group of close fingerprints costs its size."""
+
+    def __init__(self, n: int, groups: np.ndarray) -> None:
+        super().__init__(n, groups)
+        self.marked, self.since = np.zeros(n, bool), 0
+        self._count()
+
+    def _count(self) -> None:
+        self.left, self.since = np.cumsum(np.concatenate(([0], ~self.marked))), 0
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        ends = np.concatenate((u, v))[np.tile(self.parent[u] != self.parent[v], 2)]
+        ends = np.unique(ends[~self.marked[ends]])
+        self.marked[ends] = True
+        self.since += len(ends)
+        if 8 * self.since >= self.left[-1]:
+            self._count()
+
+    def settled(self, x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        full = (self.left[x[0]] == self.left[x[1]]) & (self.left[y[0]] == self.left[y[1]])
+        return full | super().settled(x, y)
+
 
 class Members(NamedTuple):
     """Sorted pieces of fingerprints, and a row of all 64-bit words of each."""
@@ -235,9 +264,12 @@ def neighbours(
     budget: int,
     groups: np.ndarray | None = None,
     every: bool = False,
+    may: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+    links: Links | None = None,
 ) -> list[tuple[int, int]]:
     """Edges that connect what is within both budgets between `a` and `b`, or within `a` if
     `b` is None; members of b count on from those of a. `groups` and `every`: see `Links`.
+    Pairs that `may` rules out are left out. `links` takes the pairs instead, if given.
 
     Pairs of trie nodes are traversed together from the roots. The bits in which their
     shared prefixes differ are differences of all their members: beyond the budget of a piece
@@ -249,10 +281,13 @@ def neighbours(
     one, two = Trie(a.pieces), Trie(sides[1].pieces)
     shift = 0 if b is None else len(a.pieces)
     words = a.words if b is None else np.concatenate((a.words, b.words))
-    links = Links(len(words), groups, every)
+    links = links or Links(len(words), groups, every)
 
     def near(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(words[u] ^ words[v]).sum(axis=1, dtype=np.int64) <= budget
+        close = np.bitwise_count(words[u] ^ words[v]).sum(axis=1, dtype=np.int64) <= budget
+        if may is not None:
+            close[close] = may(u[close], v[close])
+        return close
 
     for k, side in enumerate(sides[: 1 if b is None else 2]):  # neighbours in order, first
         u = np.arange(len(side.pieces) - 1) + k * shift
@@ -267,11 +302,7 @@ def neighbours(
         depth = np.minimum(one.depth[x], two.depth[y])
         off = np.uint64(64) - np.maximum(depth, 1).astype(np.uint64)
         differ = np.bitwise_count((one.first[x] ^ two.first[y]) >> off)
-        linked = (
-            links.uniform(one.low[x], one.high[x])
-            & links.uniform(two.low[y] + shift, two.high[y] + shift)
-            & (links.parent[one.low[x]] == links.parent[two.low[y] + shift])
-        )
+        linked = links.settled((one.low[x], one.high[x]), (two.low[y] + shift, two.high[y] + shift))
         live = ((differ <= piece_budget) | (depth == 0)) & ~linked
         x, y = x[live], y[live]
         leaf_x, leaf_y = one.left[x] < 0, two.left[y] < 0
@@ -316,41 +347,68 @@ def _compare(
         at = to
 
 
-def link(nodes: DataFrame, rule: Links64 | Links256, *, every: bool = False) -> DataFrame:
+def _members(table: pa.Table, names: list[str]) -> tuple[Members, Members | None, np.ndarray]:
+    """The two parts of a group of `dealt`, the second None if it is one part or a part is
+    empty, and the rows of both in order."""
+    second, value, node = (table.column(c).to_numpy() for c in ("second", "value", "node"))
+    words = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+    order = np.lexsort((node, value.view(np.uint64)))
+    parts = [order[second[order] == k] for k in (0, 1)]
+    one, two = (Members(value[p].view(np.uint64), words[p]) for p in parts)
+    return one, None if table.column("within")[0].as_py() else two, np.concatenate(parts)
+
+
+def link(
+    nodes: DataFrame, rule: Links64 | Links256, *, every: bool = False, percent: int | None = None
+) -> DataFrame:
     """Edges (u, v) that connect those of `nodes` (node bigint, and `columns(rule)`) that
     link: for each group of GROUP a spanning forest.
 
     Rows are a few numbers each; a group emits fewer edges than it has members, never all
     pairs. If `nodes` has a column `grouped`, nodes with equal ones are taken as connected;
-    with `every`, all links between different ones are given, each by one group.
+    with `every`, all links between different ones are given, each by one group. With
+    `percent`, `nodes` have the `size` and `sketch` of sets, and pairs that these show to be less
+    similar are no links.
     """
     names, choices = columns(rule), cuts(nodes.count(), rule)
 
     def compare(table: pa.Table) -> pa.Table:
-        second, value, node = (table.column(c).to_numpy() for c in ("second", "value", "node"))
-        words = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
-        order = np.lexsort((node, value.view(np.uint64)))
-        parts = [order[second[order] == k] for k in (0, 1)]
-        edges, within = [], table.column("within")[0].as_py()
-        if within or all(len(p) for p in parts):
-            members = [Members(value[p].view(np.uint64), words[p]) for p in parts]
-            other = None if within else members[1]
-            groups = None
+        one, two, rows = _members(table, names)
+        node, edges = table.column("node").to_numpy()[rows], []
+        if len(one.pieces) and (two is None or len(two.pieces)):
+            groups, may = None, None
             if "grouped" in table.column_names:
-                groups = table.column("grouped").to_numpy()[np.concatenate(parts)]
-            edges = neighbours(members[0], other, rule.piece_budget, rule.budget, groups, every)
-        found = node[np.concatenate(parts)]
+                groups = table.column("grouped").to_numpy()[rows]
+            if percent is not None:
+                sketches = table.column("sketch").combine_chunks().take(pa.array(rows))
+                may = ngram_join.similar_sketches(table.column("size").to_numpy()[rows], sketches.to_pylist(), percent)
+            edges = neighbours(one, two, rule.piece_budget, rule.budget, groups, every, may)
         ends = np.array(edges, np.int64).reshape(-1, 2)
         if every and len(ends):
             ends = np.unique(np.sort(ends, axis=1), axis=0)
-            words = words[np.concatenate(parts)]
+            words = one.words if two is None else np.concatenate((one.words, two.words))
             first = first_group(words[ends[:, 0]] ^ words[ends[:, 1]], choices, rule)
             ends = ends[first == (table.column("piece")[0].as_py() * len(choices) + table.column("cut")[0].as_py())]
-        return pa.table({"u": found[ends[:, 0]], "v": found[ends[:, 1]]})
+        return pa.table({"u": node[ends[:, 0]], "v": node[ends[:, 1]]})
 
     return dealt(nodes, rule, choices).groupBy(*GROUP).applyInArrow(compare, "u bigint, v bigint")
 
 
+def open_nodes(nodes: DataFrame, rule: Links64 | Links256) -> DataFrame:
+    """(node): those of `nodes`, as `link` takes them, that link with one of another `grouped`."""
+    names = columns(rule)
+
+    def mark(table: pa.Table) -> pa.Table:
+        one, two, rows = _members(table, names)
+        node, grouped = (table.column(c).to_numpy()[rows] for c in ("node", "grouped"))
+        links = Open(len(rows), grouped)
+        if len(one.pieces) and (two is None or len(two.pieces)):
+            neighbours(one, two, rule.piece_budget, rule.budget, links=links)
+        return pa.table({"node": node[links.marked]})
+
+    return dealt(nodes, rule).groupBy(*GROUP).applyInArrow(mark, "node bigint").distinct()
+
+
 def first_group(differ: np.ndarray, choices: list[list[tuple[int, int]]], rule: Links64 | Links256) -> np.ndarray:
     """For pairs whose fingerprints differ in the bits `differ`, the first piece within its budget,
     times the number of cuts, plus the first cut in which that piece is equal."""
@@ -477,27 +535,31 @@ def similar(
     """Edges (u, v) of `nodes` that link by `rule` and whose sets of shingles have
     100 * intersection >= percent * union, so many that they connect all that do.
 
-    Candidates are a spanning forest of each group of the trie join, compared set by set; then
-    another, of what these left apart; then all links between what is still apart. So a large
-    group of copies costs its links, and each edge is a pair that was compared. `names` has the
-    `set` of each node, and `texts` the texts, which are read again for nodes with candidates.
+    Candidates are a spanning forest of each group of the trie join, compared set by set. Nodes
+    with a link beyond their component are joined again with a sketch of their sets, first a
+    forest and then all links between what is still apart: only pairs whose sketches let them
+    be so similar. So a large group of copies, similar enough or not, costs its links, and each
+    edge is a pair that was compared. `names` has the `set` of each node, and `texts` the texts,
+    which are read again for nodes with candidates.
     """
-    edges, done, sets = None, None, None
-    for every in (False, False, True):
-        now = nodes
-        if edges is not None:
-            roots = written(components(edges)).withColumnRenamed("node", "of")
-            now = nodes.join(roots, F.col("node") == F.col("of"), "left").drop("of")
-            now = now.withColumn("grouped", F.coalesce("root", "node")).drop("root")
-            now = written(now.join(sets.select("node"), "node", "left_semi"))  # others have no candidate
-        found = ngram_join.different(link(now, rule, every=every))
-        if sets is None:
-            ends = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node")))
-            some = written(names.join(ends.distinct(), "node", "left_semi").select("set", "node").distinct())
-            kept = ngram_join.kept_sets(texts, some.select(F.col("set").alias("node")), shingle)
-            kept = kept.withColumnRenamed("node", "set")
-            sets = written(kept.join(some, "set").select("node", "hashes"))
-            edges, done = found.where("u != u"), found.where("u != u")
+    found = ngram_join.different(link(nodes, rule))
+    ends = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node")))
+    some = written(names.join(ends.distinct(), "node", "left_semi").select("set", "node").distinct())
+    kept = ngram_join.kept_sets(texts, some.select(F.col("set").alias("node")), shingle)
+    sets = written(kept.withColumnRenamed("node", "set").join(some, "set").select("node", "hashes", "sketch"))
+    done, edges = found, written(ngram_join.verified(found, sets, percent))
+
+    def grouped(nodes: DataFrame) -> DataFrame:
+        roots = written(components(edges)).withColumnRenamed("node", "of")
+        met = nodes.join(roots, F.col("node") == F.col("of"), "left")
+        return met.withColumn("grouped", F.coalesce("root", "node")).drop("root", "of")
+
+    now = nodes.join(sets.select("node"), "node", "left_semi")  # others have no candidate
+    left = written(open_nodes(written(grouped(now)), rule))
+    small = sets.select("node", F.floor(F.length("hashes") / 8).alias("size"), "sketch")
+    now = written(now.join(left, "node", "left_semi").join(small, "node"))
+    for every in (False, True):
+        found = ngram_join.different(link(written(grouped(now)), rule, every=every, percent=percent))
         found = written(found.join(done, ["u", "v"], "left_anti"))
         edges = written(edges.unionByName(ngram_join.verified(found, sets, percent)))
         done = done.unionByName(found)

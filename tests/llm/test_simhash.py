@@ -245,3 +245,60 @@ def test_prints_and_sets_are_taken_in_one_python_step(make, monkeypatch, capsys)
     names = simhash.columns(Links256())
     for r in prints.collect():
         assert [r[c] for c in names] == [plain[r.doc_id][c] for c in names] and len(r.set) == 16
+
+
+def test_near_copies_below_the_similarity_are_not_listed_in_pairs(make, monkeypatch):
+    """Texts whose fingerprints all link, but few of whose sets do, cost no square of their number."""
+    rng = np.random.default_rng(8)
+    words, rows = [f"w{x}" for x in rng.integers(0, 20_000, 400)], []
+    for k in range(200):
+        copy = list(words)
+        for place in rng.choice(400, 12, replace=False):
+            copy[place] = f"n{k}-{place}"
+        rows.append((k, " ".join(copy), "en", "a", 1))
+        if k % 10 == 0:
+            rows.append((1000 + k, " ".join([*copy[:-1], "end"]), "en", "a", 1))
+    tables, compared, real = [], [], simhash.ngram_join.verified
+
+    def verified(pairs, sets, percent):
+        compared.append(pairs.count())
+        tables.append(sets.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(simhash.ngram_join, "verified", verified)
+    kept = {r.doc_id for r in simhash.one_of_each(make(rows)).collect()}
+    assert tables[0] == len(rows)  # each has a candidate
+    assert sum(compared) <= 10 * len(rows)
+    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (r[1].split() for r in rows)]
+    near = [
+        (i, j)
+        for i, a in enumerate(shingles)
+        for j, b in enumerate(shingles[:i])
+        if 100 * len(a & b) >= 80 * len(a | b)
+    ]
+    firsts = {}
+    for r, g in zip(rows, groups(len(rows), near)):
+        firsts[g] = min(r[0], firsts.get(g, r[0]))
+    assert kept == set(firsts.values()) and len(near) < 200
+
+
+@pytest.mark.parametrize("second", [False, True])
+def test_open_members(second):
+    """Those near one of another group, though not each of their pairs is looked at."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for _ in range(1500)], np.uint64)
+    pieces = np.unique(np.concatenate((base, base[rng.integers(0, 60, 1500)] ^ flips)))
+    parts = [pieces[::2], pieces[1::2]] if second else [pieces]
+    pieces, grouped = np.concatenate(parts), rng.integers(0, 3, len(pieces))
+    grouped[rng.integers(0, len(pieces), 900)] = 0
+    near = np.bitwise_count(pieces[:, None] ^ pieces[None]) <= 4
+    near &= grouped[:, None] != grouped[None]
+    links = simhash.Open(len(pieces), grouped)
+    assert neighbours(*([Members(p, p[:, None]) for p in parts] + [None])[:2], 4, 4, links=links) == []
+    if second:  # links within a part may be found as well
+        n, everywhere = len(parts[0]), near.any(axis=1)
+        near[:n, :n] = near[n:, n:] = False
+        assert (links.marked <= everywhere).all() and (near.any(axis=1) <= links.marked).all()
+    else:
+        assert links.marked.tolist() == near.any(axis=1).tolist()
