@@ -125,3 +125,22 @@ def test_work_is_left_out_where_it_tells_nothing(make):
     assert rows[2].letter_words == ["a", "b", "c"] and rows[3].letter_words == odd.split()
     top = d.references(d._profiles(df.where("doc_id = 3"))).first()
     assert sorted(top.common) == sorted(w.lower() for w in odd.split())
+
+
+def test_fours_are_hashed_only_where_seven_pairs_repeat(make):
+    """Six pairs of a text that equal an earlier one rule out a window found twice."""
+    tail = " ".join(f"t{i}" for i in range(30))
+    one = lambda n: " ".join(f"w{i}" for i in range(n))
+    texts = [f"{one(n)} x {one(n)} {tail}" for n in (7, 8)]
+    df = make([(i, t, "en", "a", 1) for i, t in enumerate(texts)]).select("doc_id", "text", F.lit("=en").alias("tongue"))
+    rows = {r.doc_id: r for r in d._base(d._profiles(df)).collect()}
+    assert [len(rows[i].four) for i in (0, 1)] == [0, 44]
+    assert [rows[i].n_repeat_words for i in (0, 1)] == [0, 16]
+
+
+def test_an_empty_word_is_not_common(make):
+    """Texts that begin with no letter have an empty word; a language without letters has no common one."""
+    rows = [(1, "1 " + "the of " * 200, "en", "a", 1), (2, "12 34 " * 80, "xx", "a", 1)]
+    got = {r.doc_id: r for r in d.judge(make(rows), min_words=1).collect()}
+    assert got[1].word_distance == pytest.approx(0) and got[2].word_distance is None
+    assert got[1].char_distance == pytest.approx(0) and got[2].char_distance == pytest.approx(0)
